@@ -23,21 +23,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilmark.llm.letters import plain
+
 FEATURES = (
     "n_words", "is_link", "tag_class", "ends", "x", "prev_x", "next_x", "open_score", "open_prev", "open_next", "words_prev", "words_next", "words_prev2", "words_next2",
     "links_2", "links_5", "after_title", "since_title", "boiler_before", "boiler_next", "body_after",
 )
 UNKNOWN_X = -1.0
-#: Look-alike letters of other scripts, lower case, for comparing openings and titles.
-LOOKALIKE = ("аеорсухіјѕԁոһαονρικτυε", "aeopcyxijsdnhaovpiktue")
-HIDDEN = r"[\x{ad}\x{34f}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{fe00}-\x{fe0f}\x{feff}]"
-SPACES = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
 
 
 def folded(text: Column) -> Column:
-    """Lower case without look-alikes, invisible characters and odd spaces."""
-    t = F.regexp_replace(F.regexp_replace(text, HIDDEN, ""), SPACES, " ")
-    return F.trim(F.translate(F.lower(t), *LOOKALIKE))
+    """Lower case in plain letters."""
+    return F.lower(plain(text))
 
 
 def tag_class(tag: Column) -> Column:
