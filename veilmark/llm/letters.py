@@ -32,9 +32,8 @@ ACCENTS = [(base + mark, unicodedata.normalize("NFC", base + mark)) for mark in
 def plain(text: Column) -> Column:
     """Text in plain letters with single spaces; case is kept."""
     t = F.translate(F.translate(F.regexp_replace(text, HIDDEN, ""), *STYLED), *LOOKALIKE)
-    composed = t
-    for pair, one in ACCENTS:
-        composed = F.replace(composed, F.lit(pair), F.lit(one))
+    accents = F.array(*[F.struct(F.lit(pair).alias("pair"), F.lit(one).alias("one")) for pair, one in ACCENTS])
+    composed = F.aggregate(accents, t, lambda done, x: F.replace(done, x["pair"], x["one"]))
     t = F.when(t.rlike(r"[\x{300}-\x{36f}]"), composed).otherwise(t)
     t = F.when(text.rlike(r"[^\x00-\x7f]"), t).otherwise(text)
     return F.trim(F.regexp_replace(t, SPACES, " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import boilerplate, normalise, truncation
+from veilmark.llm import boilerplate, normalise, privacy, truncation
 from veilmark.sources import table
 
 
@@ -18,6 +18,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return normalise.inconsistent(table(spark, d, "elements"), ["page_id", "element_id"], ["text", "label"]).select("page_id", "element_id", "field")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.findings(table(spark, d, "elements"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.redacted(table(spark, d, "elements"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_elements(table(spark, d, "elements"))
 
@@ -26,6 +34,6 @@ def p7_site_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.site_rates(table(spark, d, "elements"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found, "p7_site_rates": p7_site_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_site_rates": p7_site_rates}
 
 ORACLES: dict[str, str] = {}
