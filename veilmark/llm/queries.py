@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import boilerplate, normalise, privacy, truncation
+from veilmark.llm import boilerplate, normalise, privacy, quality, truncation
 from veilmark.sources import table
 
 
@@ -34,6 +34,15 @@ def p7_site_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.site_rates(table(spark, d, "elements"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_site_rates": p7_site_rates}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return quality.classified(docs).filter(F.col("kind") != "prose").select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classified(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_site_rates": p7_site_rates, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 ORACLES: dict[str, str] = {}
