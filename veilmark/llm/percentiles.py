@@ -172,13 +172,33 @@ def summaries(df: DataFrame, groups: Sequence[str], measures: Sequence[str], err
 def _combine(df: DataFrame, names: Sequence[str], fields: T.StructType, error: float, by_bucket: bool) -> DataFrame:
     keys = [*names, "measure"] + (["bucket"] if by_bucket else [])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        parts = [Summary(np.asarray(v, float), np.asarray(lo, np.int64), np.asarray(hi, np.int64), int(n)) for v, lo, hi, n in zip(pdf.v, pdf.lo, pdf.hi, pdf.n, strict=True)]
-        s = merged(parts, error)
-        return pd.DataFrame([_row(tuple(first[k] for k in names), names, int(first["bucket"]), first["measure"], s, int(pdf.n_invalid.sum()))])
+    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows of a group are adjacent: one group's summaries are held at a time, and no frame is built for each
+        current, parts, invalid, rows = None, [], 0, []
+        for batch in batches:
+            key_columns = [batch[k] for k in keys]
+            for at, v, lo, hi, n, bad in zip(zip(*key_columns, strict=True), batch.v, batch.lo, batch.hi, batch.n, batch.n_invalid, strict=True):
+                key = tuple(None if pd.isna(k) else k for k in at)
+                if key != current:
+                    if parts:
+                        rows.append(closed(current, parts, invalid))
+                        if len(rows) >= 256:
+                            yield pd.DataFrame(rows)
+                            rows = []
+                    current, parts, invalid = key, [], 0
+                parts.append(Summary(np.asarray(v, float), np.asarray(lo, np.int64), np.asarray(hi, np.int64), int(n)))
+                invalid += int(bad)
+                if len(parts) >= 64:
+                    parts = [merged(parts, 0.0)]
+        if parts:
+            rows.append(closed(current, parts, invalid))
+        if rows:
+            yield pd.DataFrame(rows)
+
+    def closed(key: tuple, parts: list, invalid: int) -> dict:
+        return _row(key[: len(names)], names, int(key[-1]) if by_bucket else 0, key[len(names)], merged(parts, error), invalid)
 
-    return df.groupBy(*keys).applyInPandas(one, _schema(fields))
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(flow, _schema(fields))
 
 
 def combined(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
