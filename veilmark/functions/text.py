@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,9 +70,12 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: nesting expressions by hand multiplies them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decode3(text: Column) -> Column:
     """Up to three passes of percent decoding; a pass that fails changes nothing, '+' stays."""
-    out = text
-    for _ in range(3):
-        out = F.coalesce(F.try_url_decode(F.regexp_replace(out, r"\+", "%2B")), out)
-    return F.when(text.contains("%"), out).otherwise(text)
+    passes = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), text, lambda done, _: F.coalesce(F.try_url_decode(F.regexp_replace(done, r"\+", "%2B")), done))
+    return F.when(text.contains("%"), passes).otherwise(text)

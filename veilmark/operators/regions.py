@@ -88,8 +88,9 @@ def hulls(regions: DataFrame, cluster: Sequence[str]) -> DataFrame:
     severity, strength = _map(P.SEVERITY_RANK), _map(P.REDACTION_RANK)
     rows = regions.withColumns({"sr": severity[F.col("severity")], "rr": strength[F.col("redaction")], "x": F.col("bbox.x"), "y": F.col("bbox.y"), "r": F.col("bbox.x") + F.col("bbox.width"), "b": F.col("bbox.y") + F.col("bbox.height")})
     top = F.struct("sr", (-F.col("ord")).alias("o"))
+    kept = [] if "type" in cluster else [F.max_by("type", top).alias("type")]
     return rows.groupBy(*cluster).agg(
-        F.max_by("type", top).alias("type"), F.max_by("severity", "sr").alias("severity"), F.max_by("redaction", "rr").alias("redaction"), F.max("confidence").alias("confidence"),
+        *kept, F.max_by("severity", "sr").alias("severity"), F.max_by("redaction", "rr").alias("redaction"), F.max("confidence").alias("confidence"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max("r") - F.min("x")).alias("width"), (F.max("b") - F.min("y")).alias("height"),
         F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.count(F.lit(1)).alias("n_regions"),
     )

@@ -25,7 +25,7 @@ def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str], values: Se
 def liveness(beats: DataFrame, key: str, ts: str, now: Column, limit_s: int = 30) -> DataFrame:
     """(key, last_seen, seconds_since, connected): connected while less than limit_s seconds have passed."""
     seen = beats.groupBy(key).agg(F.max(ts).alias("last_seen"))
-    since = F.unix_micros(now) / 1e6 - F.unix_micros("last_seen") / 1e6
+    since = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp"))) / 1e6
     return seen.select(key, "last_seen", F.round(since, 3).alias("seconds_since"), (since < limit_s).alias("connected"))
 
 

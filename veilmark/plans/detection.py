@@ -242,6 +242,22 @@ WHEN {S.match("semantic_tree", P.SERVER_URL_PARAM)} THEN 'Sensitive URL paramete
 FROM q LEFT JOIN f ON q.request_id = f.request_id"""
 
 
+GATE_CODES = (("LEAKED_EMAIL", P.EMAIL), ("LEAKED_PHONE", P.PHONE), ("LEAKED_NATIONAL_ID", P.NATIONAL_ID), ("LEAKED_API_KEY", P.API_KEY), ("LEAKED_CREDIT_CARD", P.CARD_LOOSE), ("LEAKED_PRIVATE_KEY", P.PRIVATE_KEY))
+
+
+def _codes_sql() -> str:
+    """The gate's codes by field; addresses are left to the expression, as no address of the tables is sensitive."""
+    password = f"(coalesce(input_type = 'password', false) OR {S.any_of('autocomplete', ('password',))} OR {S.any_of('element_id', (*P.PASSWORD_NAME, 'pin'))})"
+    parts = []
+    for i, f in enumerate(("text", "placeholder", "label", "alt", "selected_value", "href", "src")):
+        rules = [f"CASE WHEN {password} THEN 'LEAKED_PASSWORD' END"]
+        for code, p in GATE_CODES:
+            hit = S.match(f"trim({f})", p)
+            rules.append(f"CASE WHEN {hit}{' OR ' + S.luhn(f'trim({f})', False) if code == 'LEAKED_CREDIT_CARD' else ''} THEN '{code}' END")
+        parts.append(f"SELECT page_id, element_id, ord, {i} AS field_ord, '{f}' AS field, list_filter([{', '.join(rules)}], lambda c: c IS NOT NULL) AS codes FROM e WHERE trim({f}) <> '' AND trim({f}) <> '[REDACTED]'")
+    return f"WITH e AS {S.ELEMENTS}, c AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE len(codes) > 0)"
+
+
 INVENTORY_SQL = " UNION ALL ".join(
     f"SELECT '{k}' AS kind, count(*) AS n, count(DISTINCT m) AS n_distinct, sum(length(m)) AS n_chars FROM (SELECT unnest(regexp_extract_all(text, {S.quote(p)})) AS m FROM documents) HAVING count(*) > 0"
     for k, p in {"email": P.EMAIL, "phone": P.PHONE, "national_id": P.NATIONAL_ID, "card": P.CARD_SPACED}.items()
@@ -274,6 +290,9 @@ ORACLES = {
     "luhn_candidates": f"""SELECT page_id, element_id, n AS number, {S.luhn('n')} AS valid, {S.luhn('n', False)} AS valid_loose FROM (
 SELECT page_id, element_id, unnest(list_distinct(regexp_extract_all(text, '[0-9][0-9 -]{{11,22}}[0-9]'))) AS n FROM {S.ELEMENTS}) WHERE length(regexp_replace(n, '[^0-9]', '', 'g')) BETWEEN 13 AND 19""",
     "luhn_numbers": f"SELECT o_orderkey, n AS number FROM (SELECT o_orderkey, '4' || lpad(CAST(o_orderkey AS VARCHAR), 14, '7') || CAST(o_custkey % 10 AS VARCHAR) AS n FROM orders) WHERE {S.luhn('n')}",
+    "gate_field_codes": _codes_sql() + " SELECT page_id, element_id, field, array_to_string(codes, '|') AS codes FROM c",
+    "gate_pages": _codes_sql() + """, f AS (SELECT page_id, min_by(codes[1], ord * 100 + field_ord) AS first_code, CAST(sum(len(codes)) AS BIGINT) AS n_violations FROM c GROUP BY page_id)
+SELECT e.page_id, count(*) AS n_elements, coalesce(any_value(f.n_violations), 0) AS n_violations, any_value(f.first_code) AS first_code, any_value(f.first_code) IS NULL AS safe FROM e LEFT JOIN f ON e.page_id = f.page_id GROUP BY e.page_id""",
     "server_verdicts": _server_sql(),
     "server_reasons": f"SELECT reason, count(*) AS n_requests FROM ({_server_sql()}) GROUP BY reason",
     "pattern_inventory": INVENTORY_SQL,
