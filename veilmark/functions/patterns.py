@@ -6,11 +6,16 @@ Patterns are written in the dialect RE2 and Java share. Java reads `\\b` over Un
 
 from __future__ import annotations
 
+import re
+
 BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def java(pattern: str) -> str:
-    """The pattern for Spark: ASCII word boundaries."""
+    """The pattern for Spark: ASCII word boundaries. One half is enough where the other side is a word character."""
+    pattern = re.sub(r"\\b(?=\\d|\[A-Z\]|\[0-9\]|[0-9A-Za-z]|\[6789\]|\(\?:\\d)", lambda m: _BEFORE, pattern)
+    pattern = re.sub(r"(?<=\\d)\\b|(?<=\\d\{4\})\\b|(?<=\\d\{9\})\\b|(?<=\\d\{12\})\\b|(?<=\[A-Z\])\\b", lambda m: _AFTER, pattern)
     return pattern.replace(r"\b", BOUNDARY)
 
 
@@ -51,6 +56,7 @@ API_KEY_DETECT = (
     r"\beyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\b",
     r"(?i:\b(?:api[_-]?key|apikey|access[_-]?key|secret[_-]?key|client[_-]?secret|auth[_-]?token)\s*[:=]\s*[\"']?[a-zA-Z0-9_\-.~+/]{16,})",
 )
+API_KEY_ANY = "|".join(f"(?:{p})" for p in API_KEY_DETECT)
 PRIVATE_KEY = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
 PRIVATE_KEY_BLOCK = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----(?s:.*?)-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
 #: Secrets without a detector of their own to go by: private keys, and assignments to a secret's name (our specification).

@@ -40,9 +40,8 @@ def _meta() -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("element_id", "label", "placeholder", "autocomplete")]))
 
 
-def _one_of(patterns: Sequence[str]) -> Callable[[Column], Column]:
-    whole = "|".join(f"(?:{p})" for p in patterns)
-    return lambda c: matches(c, whole)
+def _content(pattern: str) -> Callable[[Column], Column]:
+    return lambda c: matches(c, pattern)
 
 
 def _is(column: str, *values: str) -> Column:
@@ -57,17 +56,17 @@ DETECTORS: tuple[Detector, ...] = (
     Detector(
         "EmailDetector", "email", "email", "mask",
         lambda: _is("input_type", "email") | _is("autocomplete", "email") | _any("element_id", ("email",)) | _any("label", ("email",)) | _any("placeholder", ("email",)),
-        _one_of((P.EMAIL,)), content_confidence=0.9,
+        _content(P.EMAIL), content_confidence=0.9,
     ),
     Detector(
         "PhoneDetector", "phone", "phone", "mask",
         lambda: _is("input_type", "tel") | _is("autocomplete", "tel") | _any("element_id", ("phone",)) | _any("label", ("phone",)) | _any("placeholder", ("phone",)),
-        _one_of((P.PHONE,)), content_confidence=0.85,
+        _content(P.PHONE), content_confidence=0.85,
     ),
     Detector(
         "IdDetector", "id", "id", "mask",
         lambda: _any("label", P.ID_LABEL) | _any("element_id", P.ID_ID),
-        _one_of((P.NATIONAL_ID_DETECT,)), attribute_confidence=0.9, content_confidence=0.85,
+        _content(P.NATIONAL_ID_DETECT), attribute_confidence=0.9, content_confidence=0.85,
     ),
     Detector(
         "SemanticDetector", "sensitive", "sem", "mask",
@@ -76,13 +75,13 @@ DETECTORS: tuple[Detector, ...] = (
     ),
     Detector(
         "ApiKeyDetector", "api_key", "apikey", "blackout",
-        lambda: contains_any(_meta(), P.API_KEY_FIELD), _one_of(P.API_KEY_DETECT), ("text", "placeholder"), 16, 0.95, 0.85,
+        lambda: contains_any(_meta(), P.API_KEY_FIELD), _content(P.API_KEY_ANY), ("text", "placeholder"), 16, 0.95, 0.85,
     ),
     Detector(
         "CreditCardDetector", "credit_card", "cc", "blackout",
         lambda: contains_any(_meta(), P.CARD_FIELD) | F.coalesce(F.lower("autocomplete").isin(*P.CARD_AUTOCOMPLETE), F.lit(False)), has_card, ("text", "placeholder"), 13, 1.0, 0.95,
     ),
-    Detector("SecretDetector", "secret", "secret", "blackout", lambda: F.lit(False), _one_of((P.SECRET,)), content_confidence=0.9),
+    Detector("SecretDetector", "secret", "secret", "blackout", lambda: F.lit(False), _content(P.SECRET), content_confidence=0.9),
 )
 
 

@@ -1,0 +1 @@
+"""Streams of events, heartbeats and payloads."""
