@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -11,12 +12,8 @@ from veilmark.functions import patterns as P
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """Whether a lower-case text contains one of words; null counts as empty."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = F.lit(False)
-    for w in words:
-        out = out | low.contains(w)
-    return out
+    """Whether a text contains one of the lower-case words, in any case; null counts as empty."""
+    return F.coalesce(F.lower(text).rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
 #: Cheap conditions a match needs. Searching for them takes one plain scan; the patterns themselves, with their

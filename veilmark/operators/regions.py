@@ -7,7 +7,7 @@ over that page's regions; a page is bounded by the payload cap (`MAX_REGIONS`) a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -162,13 +162,28 @@ def merge_page(regions: list[dict], iou: float = IOU_MERGE, contained: float = C
 
 
 def merge_regions(regions: DataFrame, page: str) -> DataFrame:
-    """merge_page for every page. regions: page, region_id, type, bbox, confidence, severity, redaction (canonical)."""
+    """merge_page for every page. regions: page, region_id, type, bbox, confidence, severity, redaction (canonical).
+
+    Pages are merged in a stream of sorted rows: one page is held at a time, and no frame is built for each.
+    """
     schema = f"{page} string, region_id string, type string, x double, y double, width double, height double, confidence double, severity string, redaction string, merged_from array<string>"
+    names = [c.split()[0] for c in schema.split(", ")]
     flat = regions.select(page, "region_id", "type", "bbox.x", "bbox.y", "bbox.width", "bbox.height", "confidence", "severity", "redaction")
     sized = flat.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(page))).filter(F.col("__n") <= MAX_REGIONS).drop("__n")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{**r, "merged_from": [r["region_id"]]} for r in pdf.to_dict("records")]
-        return pd.DataFrame(merge_page(rows))[[c.split()[0] for c in schema.split(", ")]]
-
-    return sized.groupBy(page).applyInPandas(one, schema)
+    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, out = None, [], []
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                if r[page] != at:
+                    out.extend(merge_page(held))
+                    at, held = r[page], []
+                    if len(out) >= 4096:
+                        yield pd.DataFrame(out)[names]
+                        out = []
+                held.append({**r, "merged_from": [r["region_id"]]})
+        out.extend(merge_page(held))
+        if out:
+            yield pd.DataFrame(out)[names]
+
+    return sized.repartition(page).sortWithinPartitions(page, "region_id").mapInPandas(flow, schema)
