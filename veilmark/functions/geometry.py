@@ -42,7 +42,8 @@ def _number(v: Column, low: float) -> Column:
 
 def canonical(b: Column) -> Column:
     """Whole numbers within [0, limit], sides of at least 1; what is no number becomes the lower bound."""
-    inf = lambda v: F.when(v > LIMIT, LIMIT).when(v < -LIMIT, -LIMIT).otherwise(v)
+    # NaN sorts above every number
+    inf = lambda v: F.when(F.isnan(v), v).when(v > LIMIT, LIMIT).when(v < -LIMIT, -LIMIT).otherwise(v)
     return F.struct(
         _number(inf(b["x"]), 0.0).alias("x"), _number(inf(b["y"]), 0.0).alias("y"), _number(inf(b["width"]), 1.0).alias("width"), _number(inf(b["height"]), 1.0).alias("height")
     )
