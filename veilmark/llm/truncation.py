@@ -81,14 +81,17 @@ def candidates(elements: DataFrame) -> DataFrame:
     )
 
 
+def _running() -> Column:
+    """Phrases and headings end openly at any length; limits are looked for in running text only."""
+    return (F.col("n_sentences") >= 1) | F.col("marked") | (F.col("n_words") >= 12)
+
+
 def limits(rows: DataFrame, least: int = 4, peak: float = 4.0, reach: int = 3) -> DataFrame:
     """(site, form, length): hidden limits, where a site's unfinished texts pile up at one length.
 
     least: distinct unfinished texts at that length; peak: how far they exceed the average of the `reach` lengths on either side.
     """
-    # phrases and headings end openly at any length; only running text counts
-    d = rows.filter((F.col("n_sentences") >= 1) | F.col("marked") | (F.col("n_words") >= 12))
-    d = d.select("site", "t", F.explode(lengths(F.col("text"))).alias("form", "length")).filter(F.col("length") >= 60)
+    d = rows.filter(_running()).select("site", "t", F.explode(lengths(F.col("text"))).alias("form", "length")).filter(F.col("length") >= 60)
     d = d.groupBy("site", "form", "length").agg(F.count_distinct("t").alias("n"))
     w = Window.partitionBy("site", "form").orderBy("length").rangeBetween(-reach, reach)
     d = d.withColumn("near", (F.sum("n").over(w) - F.col("n")) / (2 * reach))
@@ -106,7 +109,7 @@ def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
     words = single.join(heads, "word", "left")
     found = rows.join(pairs.withColumnsRenamed({"total": "pair_total", "ended": "pair_ended", "final": "pair_final"}), ["prev", "word"], "left").join(words, "word", "left").fillna(0, ["pair_total", "pair_ended", "pair_final", "word_total", "word_last", "word_final", "longer"])
     at = limits(rows)
-    hit = rows.select("page_id", "element_id", "site", F.explode(lengths(F.col("text"))).alias("form", "length")).join(at.select("site", "form", "length", "n"), ["site", "form", "length"]).groupBy("page_id", "element_id").agg(F.max("n").alias("limit_n"), F.max_by("form", "n").alias("limit_form"), F.max_by("length", "n").alias("limit_length"))
+    hit = rows.filter(_running()).select("page_id", "element_id", "site", F.explode(lengths(F.col("text"))).alias("form", "length")).join(at.select("site", "form", "length", "n"), ["site", "form", "length"]).groupBy("page_id", "element_id").agg(F.max("n").alias("limit_n"), F.max_by("form", "n").alias("limit_form"), F.max_by("length", "n").alias("limit_length"))
     found = found.join(hit, ["page_id", "element_id"], "left")
     # without the text itself
     pair_total, pair_last = F.col("pair_total") - 1, F.col("pair_ended") + F.col("pair_final") - 1
@@ -119,7 +122,7 @@ def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
     never = F.coalesce(F.col("word_end") < 0.02, F.lit(False)) | (prose & F.coalesce(F.col("pair_end") < 0.04, F.lit(False)))
     stock = F.coalesce(F.col("pair_end") >= 0.97, F.lit(False))
     long = (F.col("n_words") >= least_words) & (F.col("n_alpha") >= 3)
-    limited = F.col("limit_n").isNotNull() & (prose | F.col("marked") | (F.col("n_words") >= 12))
+    limited = F.col("limit_n").isNotNull()
     cut = long & F.when(F.col("marked"), fragment | ~stock | limited).otherwise(F.col("open_tail") | F.coalesce(fragment | never, F.lit(False)) | (limited & F.coalesce(F.col("pair_end") < 0.5, F.lit(True))))
     return found.select("*", fragment.alias("fragment"), never.alias("never"), stock.alias("stock"), prose.alias("prose"), cut.alias("cut"))
 
