@@ -63,20 +63,23 @@ class _Bins:
 def _improve(bins: _Bins, sizes: np.ndarray, lower: int, max_trials: int) -> None:
     """Local search between underfull containers; `max_trials` pairs at most are tried."""
     capacity, items, fill = bins.capacity, bins.items, bins.fill
+    trials, changed = 0, True
     used = sum(1 for f in fill if f)
-    trials = 0
-    for donor in sorted((b for b in range(len(fill)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b)):
-        if used <= lower or trials >= max_trials:
-            return
-        receivers = sorted((b for b in range(len(fill)) if fill[donor] <= fill[b] < capacity and b != donor), key=lambda b: (-fill[b], b))
-        for b in receivers:
-            trials += 1
-            if trials >= max_trials or not items[donor]:
-                break
-            while items[donor] and fill[b] < capacity and _step(items, fill, sizes, b, donor, capacity):
-                pass
-        if not items[donor]:
-            used -= 1
+    while changed:
+        # an exchange between two full containers may open room for the emptiest one: passes repeat until none helps
+        changed = False
+        for donor in sorted((b for b in range(len(fill)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b)):
+            if used <= lower:
+                return
+            for b in sorted((b for b in range(len(fill)) if fill[donor] <= fill[b] < capacity and b != donor), key=lambda b: (-fill[b], b)):
+                trials += 1
+                if trials >= max_trials:
+                    return
+                while items[donor] and fill[donor] <= fill[b] < capacity and _step(items, fill, sizes, b, donor, capacity):
+                    changed = True
+                if not items[donor]:
+                    used -= 1
+                    break
 
 
 def _step(items: list, fill: list, sizes: np.ndarray, b: int, donor: int, capacity: int) -> bool:
