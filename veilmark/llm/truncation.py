@@ -25,6 +25,7 @@ MARK = r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})\s*$"
 CLOSED = r"[.!?:;。！？…][\"'”’»)\]]*$"
 WORD = r"([\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*)([^\p{L}\p{N}]*)"
 ENDS = r"^[\"'”’»)\]]*[.!?…。！？]"
+OMITTED = r"^\s*[\[(]?\s*(?:…|\.{3})"
 FORMS = ("chars", "bytes", "utf16", "html", "html_bytes", "json", "crlf")
 
 
@@ -41,7 +42,7 @@ def lengths(text: Column) -> Column:
 
 
 def endings(texts: DataFrame) -> DataFrame:
-    """(prev, word, total, ended, final): how the words of distinct texts `t` go on. prev is '^' at a text's start."""
+    """(prev, word, total, ended, final, omitted): how the words of distinct texts `t` go on. prev is '^' at a text's start."""
     words = F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(1)), F.lower)
     tails = F.regexp_extract_all("t", F.lit(WORD), F.lit(2))
     rows = texts.select(words.alias("w"), tails.alias("s")).filter(F.size("w") > 0)
@@ -52,11 +53,11 @@ def endings(texts: DataFrame) -> DataFrame:
         last = i == F.size("w") - 1
         return F.struct(
             F.when(stop, F.lit("^")).otherwise(F.get("w", i - 1)).alias("prev"), word.alias("word"),
-            (tail.rlike(ENDS)).cast("int").alias("ended"), (last & ~tail.rlike(ENDS)).cast("int").alias("final"),
+            (tail.rlike(ENDS)).cast("int").alias("ended"), (last & ~tail.rlike(ENDS)).cast("int").alias("final"), tail.rlike(OMITTED).cast("int").alias("omitted"),
         )
 
     rows = rows.select(F.explode(F.transform("w", entry)).alias("x")).select("x.*")
-    return rows.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("total"), F.sum("ended").alias("ended"), F.sum("final").alias("final"))
+    return rows.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("total"), F.sum("ended").alias("ended"), F.sum("final").alias("final"), F.sum("omitted").alias("omitted"))
 
 
 def candidates(elements: DataFrame) -> DataFrame:
@@ -67,18 +68,24 @@ def candidates(elements: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("marked") | ~F.col("t").rlike(CLOSED))
     words = F.transform(F.regexp_extract_all("body", F.lit(WORD), F.lit(1)), F.lower)
     tails = F.regexp_extract_all("body", F.lit(WORD), F.lit(2))
-    rows = rows.withColumn("w", words).withColumn("s", tails).filter(F.size("w") > 0)
-    n = F.size("w")
-    stops = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get("s", i - 1).rlike(ENDS) & (i < n))
-    return rows.select(
-        "page_id", "element_id", "site", "tag", "text", "t", "marked", n.alias("n_words"),
-        F.element_at("w", -1).alias("word"),
-        F.when((n == 1) | F.get("s", n - 2).rlike(ENDS), F.lit("^")).otherwise(F.get("w", n - 2)).alias("prev"),
-        F.size(stops).alias("n_sentences"),
-        (n - F.coalesce(F.array_max(stops), F.lit(0))).alias("tail_words"),
-        F.size(F.filter("w", lambda x: x.rlike(r"^\p{L}"))).alias("n_alpha"),
-        F.element_at("s", -1).rlike(r"^\s*[,;–—]\s*$").alias("open_tail"),
-    )
+
+    def shape(x: Column) -> Column:
+        w, s = x["w"], x["s"]
+        n = F.size(w)
+        stops = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(s, i - 1).rlike(ENDS) & (i < n))
+        return F.when(
+            n > 0,
+            F.struct(
+                n.alias("n_words"), F.element_at(w, -1).alias("word"), F.when((n == 1) | F.get(s, n - 2).rlike(ENDS), F.lit("^")).otherwise(F.get(w, n - 2)).alias("prev"),
+                F.size(stops).alias("n_sentences"), (n - F.coalesce(F.array_max(stops), F.lit(0))).alias("tail_words"), F.size(F.filter(w, lambda v: v.rlike(r"^\p{L}"))).alias("n_alpha"),
+                F.element_at(s, -1).rlike(r"^\s*[,;–—]\s*$").alias("open_tail"),
+            ),
+        )
+
+    # bound once: a filter pushed below would otherwise put the extraction inside the loops over its own result
+    info = F.element_at(F.transform(F.array(F.struct(words.alias("w"), tails.alias("s"))), shape), 1)
+    rows = rows.withColumn("i", info).filter(F.col("i").isNotNull())
+    return rows.select("page_id", "element_id", "site", "tag", "text", "t", "marked", "i.*")
 
 
 def _running() -> Column:
@@ -107,7 +114,7 @@ def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
     heads = single.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.left("word", i))).alias("word"), "word_total").filter(F.length("word") > 0)
     heads = heads.groupBy("word").agg(F.sum("word_total").alias("longer"))
     words = single.join(heads, "word", "left")
-    found = rows.join(pairs.withColumnsRenamed({"total": "pair_total", "ended": "pair_ended", "final": "pair_final"}), ["prev", "word"], "left").join(words, "word", "left").fillna(0, ["pair_total", "pair_ended", "pair_final", "word_total", "word_last", "word_final", "longer"])
+    found = rows.join(pairs.withColumnsRenamed({"total": "pair_total", "ended": "pair_ended", "final": "pair_final", "omitted": "pair_omitted"}), ["prev", "word"], "left").join(words, "word", "left").fillna(0, ["pair_total", "pair_ended", "pair_final", "pair_omitted", "word_total", "word_last", "word_final", "longer"])
     at = limits(rows)
     hit = rows.filter(_running()).select("page_id", "element_id", "site", F.explode(lengths(F.col("text"))).alias("form", "length")).join(at.select("site", "form", "length", "n"), ["site", "form", "length"]).groupBy("page_id", "element_id").agg(F.max("n").alias("limit_n"), F.max_by("form", "n").alias("limit_form"), F.max_by("length", "n").alias("limit_length"))
     found = found.join(hit, ["page_id", "element_id"], "left")
@@ -120,10 +127,11 @@ def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
     # after whole sentences, the corpus hardly ever stops at these two words
     prose = F.col("n_sentences") >= 1
     never = F.coalesce(F.col("word_end") < 0.02, F.lit(False)) | (prose & F.coalesce(F.col("pair_end") < 0.04, F.lit(False)))
-    stock = F.coalesce(F.col("pair_end") >= 0.97, F.lit(False))
+    # words that always end a text, and mostly with a mark: "to be continued"
+    stock = F.coalesce(F.col("pair_end") >= 0.97, F.lit(False)) & (2 * F.col("pair_omitted") >= F.col("pair_ended") + F.col("pair_final"))
     long = (F.col("n_words") >= least_words) & (F.col("n_alpha") >= 3)
     limited = F.col("limit_n").isNotNull()
-    cut = long & F.when(F.col("marked"), fragment | ~stock | limited).otherwise(F.col("open_tail") | F.coalesce(fragment | never, F.lit(False)) | (limited & F.coalesce(F.col("pair_end") < 0.5, F.lit(True))))
+    cut = long & F.when(F.col("marked"), fragment | ~stock).otherwise(F.col("open_tail") | F.coalesce(fragment | never, F.lit(False)) | (limited & F.coalesce(F.col("pair_end") < 0.5, F.lit(True))))
     return found.select("*", fragment.alias("fragment"), never.alias("never"), stock.alias("stock"), prose.alias("prose"), cut.alias("cut"))
 
 
