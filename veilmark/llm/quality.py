@@ -154,8 +154,8 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     if astral.any():
         kind = np.where(astral, np.where((raw >= 0x20000) | ((raw >= 0x1D400) & (raw <= 0x1D7FF)), _LETTER, _OTHER), kind).astype(np.uint8)
     letter, space = kind == _LETTER, kind == _SPACE
-    before = lambda x, k=1: np.concatenate([np.zeros(k, x.dtype), x[:-k]])
-    after = lambda x, k=1: np.concatenate([x[k:], np.zeros(k, x.dtype)])
+    before = lambda x, k=1: np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[:-k]])
+    after = lambda x, k=1: np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
     out: dict[str, np.ndarray] = {}
 
     # words: letters, with apostrophes and hyphens between letters
