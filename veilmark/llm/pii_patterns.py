@@ -28,8 +28,8 @@ _ISOLATED = r"(?<![0-9A-Za-z]|[0-9A-Za-z][\-.])"
 _CLOSED = r"(?![0-9A-Za-z]|-[0-9A-Za-z])"
 ID = (
     rf"{_ISOLATED}(?:"
-    # resident register: four, four, four (and no fourth group)
-    r"[0-9]{4}([ \-.])[0-9]{4}\1[0-9]{4}(?![ \-.][0-9])"
+    # resident register: four, four, four (and no fourth group on either side)
+    r"(?<![0-9] )[0-9]{4}([ \-.])[0-9]{4}\1[0-9]{4}(?![ \-.][0-9])"
     # social security
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}"
     # tax card, insurance number, national identity, identity card, passport
