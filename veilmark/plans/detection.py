@@ -277,8 +277,8 @@ ORACLES = {
     **{f"detect_{k}_documents": f"SELECT doc_id FROM documents WHERE {sql('text')}" for k, (_, sql) in KINDS.items()},
     "detect_hits": HITS_SQL + " SELECT doc_id, type FROM h",
     "detect_counts_by_source": HITS_SQL + " SELECT source, type, count(*) AS n_docs FROM h GROUP BY source, type",
-    "detect_rollup": HITS_SQL + " SELECT source, type, count(*) AS n_docs FROM h GROUP BY ROLLUP (source, type)",
-    "detect_cube": HITS_SQL + " SELECT lang, type, count(*) AS n_docs, CAST(grouping(lang, type) AS BIGINT) AS level FROM h GROUP BY CUBE (lang, type)",
+    "detect_rollup": HITS_SQL + " SELECT source, type, count(*) AS n_docs FROM h GROUP BY ROLLUP (source, type) HAVING count(*) > 0",
+    "detect_cube": HITS_SQL + " SELECT lang, type, count(*) AS n_docs, CAST(grouping(lang, type) AS BIGINT) AS level FROM h GROUP BY CUBE (lang, type) HAVING count(*) > 0",
     "detect_regions": _detect_sql() + " SELECT * FROM r",
     "detect_content_only": _detect_sql(False) + " SELECT page_id, element_id, type, confidence FROM r",
     "region_type_counts": _detect_sql() + " SELECT CASE WHEN type IN ('email', 'phone', 'password', 'face', 'id', 'sensitive') THEN type ELSE 'sensitive' END AS type, count(*) AS n FROM r GROUP BY 1",
