@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 from tests.conftest import DATA, norm, rows
-from veilmark.plans import detection, pages, regions, structure, telemetry
+from veilmark.plans import audit, detection, pages, regions, structure, telemetry
 
-MODULES = (structure, detection, regions, pages, telemetry)
+MODULES = (structure, detection, regions, pages, telemetry, audit)
 CASES = [(name, m.QUERIES[name], m.ORACLES[name]) for m in MODULES for name in m.QUERIES if name in m.ORACLES]
 
 

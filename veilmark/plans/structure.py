@@ -48,7 +48,32 @@ def p6_steady(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_tables": p3_tables, "p6_found": p6_found, "p6_lifespans": p6_lifespans, "p6_steady": p6_steady}
 
+
+
+def _drift_sql() -> str:
+    parts = []
+    for field, (inside, keys, _) in drift.ALIASES.items():
+        for k in keys:
+            path = "$" + "".join(f'."{x}"' for x in k.split("."))
+            source = "c" if inside is None else "el"
+            column = "payload" if inside is None else "e"
+            parts.append(f"SELECT producer_id, file_seq, '{field}' AS field, '{k}' AS key, json_type({column}, '{path}') AS t FROM {source}")
+    return f"""
+WITH c AS (SELECT producer_id, file_seq, payload FROM capture_records WHERE payload IS NOT NULL),
+el AS (SELECT producer_id, file_seq, unnest(json_extract(payload, '$.elements[*]')) AS e FROM c),
+i AS (SELECT producer_id, file_seq, field, list_sort(list_distinct(list(key))) AS keys, list_sort(list_distinct(list(CASE WHEN t IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' ELSE t END))) AS types
+      FROM ({' UNION ALL '.join(parts)}) WHERE t IS NOT NULL AND t <> 'NULL' GROUP BY ALL),
+g AS (SELECT producer_id, file_seq, field FROM (SELECT DISTINCT producer_id, file_seq FROM capture_records), (SELECT unnest(['scroll_y', 'viewport_width', 'element_id', 'input_type']) AS field)),
+s AS (SELECT g.*, coalesce(i.keys, []) AS keys, coalesce(i.types, []) AS types FROM g LEFT JOIN i USING (producer_id, file_seq, field)),
+l AS (SELECT *, lag(keys) OVER w AS pk, lag(types) OVER w AS pt FROM s WINDOW w AS (PARTITION BY producer_id, field ORDER BY file_seq))
+SELECT producer_id, file_seq, field, 'added' AS change FROM l WHERE len(pk) = 0 AND len(keys) > 0
+UNION ALL SELECT producer_id, file_seq, field, 'removed' FROM l WHERE len(pk) > 0 AND len(keys) = 0
+UNION ALL SELECT producer_id, file_seq, field, 'renamed' FROM l WHERE len(pk) > 0 AND len(keys) > 0 AND pk <> keys
+UNION ALL SELECT producer_id, file_seq, field, 'retyped' FROM l WHERE len(pk) > 0 AND len(keys) > 0 AND pt <> types"""
+
+
 ORACLES = {
+    "p6_found": _drift_sql(),
     "p3_found": """
 WITH r AS (SELECT DISTINCT request_id, dom, redactions, step_history FROM agent_requests),
 ids AS (SELECT *, list_transform(dom, lambda e: e.element_id) AS ids FROM r),
