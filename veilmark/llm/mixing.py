@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.session import cut
@@ -124,5 +124,6 @@ def shares(documents: DataFrame, targets: DataFrame, size: int | None = None, se
     planned = spark.createDataFrame([(p.source, p.share, p.max_repeats, p.available, p.budget, p.short) for p in plans], "source string, target_share double, max_repeats int, available_tokens long, budget_tokens long, short boolean")
     sums = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("tokens"), F.sum("n_copies").alias("n_documents"), F.max("n_copies").alias("most_copies"))
     rows = planned.join(F.broadcast(sums), "source", "left").fillna(0, ["tokens", "n_documents", "most_copies"])
-    total = rows.groupBy().agg(F.sum("tokens").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).withColumn("actual_share", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(0.0)).drop("total")
+    # one row a source of the targets
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    return rows.withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))

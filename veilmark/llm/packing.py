@@ -153,11 +153,13 @@ def packed(items: DataFrame, targets: DataFrame, shard_items: int = 8192, max_tr
 
     items: (item_id, size); targets: (target_id, capacity), a small fixed table.
     """
-    n = items.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    # the number of shards follows from the data; one row, joined, not collected
-    shard = F.pmod(F.xxhash64("item_id", F.lit(17)), F.greatest(F.ceil(F.col("n") / shard_items), F.lit(1)))
-    rows = items.filter(F.col("size") > 0).crossJoin(F.broadcast(n)).select("item_id", "size", shard.alias("shard"))
-    rows = rows.crossJoin(F.broadcast(targets.select(F.col("target_id").cast("int"), F.col("capacity").cast("int"))))
+    # the count reads no sizes; the targets are a fixed table of a few rows
+    shards = max(1, -(-items.count() // shard_items))
+    wanted = [F.struct(F.lit(int(r["target_id"])).cast("int").alias("target_id"), F.lit(int(r["capacity"])).cast("int").alias("capacity")) for r in targets.select("target_id", "capacity").collect()]
+    if not wanted:
+        return items.sparkSession.createDataFrame([], SCHEMA)
+    shard = F.pmod(F.xxhash64("item_id", F.lit(17)), F.lit(shards))
+    rows = items.filter(F.col("size") > 0).select("item_id", "size", shard.alias("shard"), F.explode(F.array(*wanted)).alias("t")).select("item_id", "size", "shard", "t.target_id", "t.capacity")
 
     def one(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         target, capacity, number = int(key[0]), int(key[1]), int(key[2])

@@ -74,12 +74,9 @@ def disclosure(rows: DataFrame, threshold: float = 3.0, least: int = 1) -> DataF
     titled = F.regexp_extract_all("m_address", F.lit(f"({P.TITLED})"), F.lit(1))
     behind = rows.select(F.explode(titled).alias("t")).select(F.lower(F.regexp_extract("t", r"([\p{L}’'\-]+)$", 1)).alias("term"))
     seen = pieces.unionByName(behind).groupBy("term").agg(F.count(F.lit(1)).alias("k"))
-    # two one-row totals
-    total = terms.agg(F.sum("n").alias("total"))
-    identities = seen.agg(F.sum("k").alias("identities"))
+    total, identities = terms.agg(F.sum("n")).scalar(), seen.agg(F.sum("k")).scalar()
     scored = seen.join(terms, "term").filter((F.col("n_cap") >= 0.9 * F.col("n")) & (F.col("k") >= least))
-    scored = scored.join(F.broadcast(total)).join(F.broadcast(identities))
-    bits = F.log2((F.col("k") / F.col("identities")) / (F.col("n") / F.col("total")))
+    bits = F.log2((F.col("k") / identities) / (F.col("n") / total))
     return scored.select("term", bits.alias("bits")).filter(F.col("bits") >= threshold)
 
 
