@@ -108,3 +108,11 @@ def test_index_percentile(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 31)] + [("a", None)], "k string, v double")
     r = evaluation.index_percentile(df, "v", ["k"], {"p50": 0.5, "p95": 0.95}).first()
     assert (r["n"], r["p50"], r["p95"]) == (30, 16.0, 29.0)
+
+
+def test_labelled_corpus(spark):
+    from veilmark.plans import audit
+
+    got = {r["rules"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in audit.corpus_scores(spark, "").collect()}
+    assert got["all rules"] == (23, 2, 0, 11)
+    assert got["content rules"][0] < 23

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import patterns as P
 from veilmark.functions import text as X
-from veilmark.operators import regions, telemetry, vision
+from veilmark.operators import detectors, evaluation, regions, telemetry, vision
 from veilmark.plans import sqltext as S
-from veilmark.sources import table
+from veilmark.sources import corpus, table
 
 ALLOWED = ("pageState", "elements")
 #: Keys that name raw data by themselves (fixed values).
@@ -109,7 +109,20 @@ def detector_output(spark: SparkSession, d: str) -> DataFrame:
     return regions.nms(boxes, ["page_id"], vision.OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (metrics_report, scan_latency, unexpected_fields, region_ids, region_sources_merged, deep_scan, payload_bytes, history_lines, detector_output)}
+def corpus_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Detection on the labelled corpus, by all rules and by content alone; the two visual cases need a model and are left out."""
+    cases = corpus.corpus(spark).filter(F.col("category") != "visual")
+    used = [x for x in detectors.DETECTORS if x.type != "sensitive"]
+    parts = None
+    for name, attributes in (("all rules", True), ("content rules", False)):
+        found = detectors.detect(cases, ["case_id"], used, attributes).select("case_id").distinct().withColumn("hit", F.lit(True))
+        rows = cases.select("case_id", F.col("expected_type").isNotNull().alias("actual")).join(found, "case_id", "left")
+        one = evaluation.scores(evaluation.confusion(rows, F.col("actual"), F.col("hit"))).withColumn("rules", F.lit(name))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+QUERIES = {f.__name__: f for f in (metrics_report, scan_latency, unexpected_fields, region_ids, region_sources_merged, deep_scan, payload_bytes, history_lines, detector_output, corpus_scores)}
 
 ORACLES = {
     "metrics_report": f"""WITH r AS {S.REQUESTS} SELECT 'requests' AS metric, count(*) AS n FROM r UNION ALL SELECT 'unsanitised', count(*) FILTER (NOT (coalesce(privacy.sanitized, false) AND coalesce(privacy.raw_data_removed, false))) FROM r UNION ALL SELECT 'with_regions', count(*) FILTER (len(redactions) > 0) FROM r
