@@ -100,6 +100,7 @@ def nms(boxes: DataFrame, page: Sequence[str], threshold: float) -> DataFrame:
     """Greedy suppression: a box stays unless one that stayed, of higher score (ties: earlier), overlaps it by more than threshold.
 
     A fold over the page's boxes in order of score, as kept boxes never change. boxes: page, box_id, ord, score, bbox.
+    A page is one image's output, at most the number of priors (4420): that bounds what is collected.
     """
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", "box_id", "bbox")))
     kind = "array<struct<box_id:string,x:double,y:double,width:double,height:double>>"

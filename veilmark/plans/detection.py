@@ -258,6 +258,15 @@ def _codes_sql() -> str:
     return f"WITH e AS {S.ELEMENTS}, c AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE len(codes) > 0)"
 
 
+def _treatments_sql() -> str:
+    password = f"(coalesce(input_type = 'password', false) OR {S.any_of('autocomplete', ('password',))} OR {S.any_of('e.element_id', (*P.PASSWORD_NAME, 'pin'))})"
+    return _detect_sql() + f""", f AS (SELECT DISTINCT page_id, element_id, true AS hit FROM r),
+t AS (SELECT e.text, e.placeholder, CASE WHEN {password} THEN 'password' WHEN f.hit THEN 'region' ELSE 'scrub' END AS treatment FROM e LEFT JOIN f ON e.page_id = f.page_id AND e.element_id = f.element_id)
+SELECT treatment, count(*) AS n_elements,
+count(*) FILTER (CASE treatment WHEN 'password' THEN true WHEN 'region' THEN coalesce(text, '') <> '' ELSE coalesce({S.scrub('text')} = '[REDACTED]', false) END) AS n_redacted_texts,
+count(*) FILTER (CASE WHEN treatment = 'scrub' THEN coalesce({S.scrub('placeholder')} = '[REDACTED]', false) ELSE coalesce(placeholder, '') <> '' END) AS n_redacted_placeholders FROM t GROUP BY treatment"""
+
+
 INVENTORY_SQL = " UNION ALL ".join(
     f"SELECT '{k}' AS kind, count(*) AS n, count(DISTINCT m) AS n_distinct, sum(length(m)) AS n_chars FROM (SELECT unnest(regexp_extract_all(text, {S.quote(p)})) AS m FROM documents) HAVING count(*) > 0"
     for k, p in {"email": P.EMAIL, "phone": P.PHONE, "national_id": P.NATIONAL_ID, "card": P.CARD_SPACED}.items()
@@ -293,6 +302,7 @@ SELECT page_id, element_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]
     "gate_field_codes": _codes_sql() + " SELECT page_id, element_id, field, array_to_string(codes, '|') AS codes FROM c",
     "gate_pages": _codes_sql() + """, f AS (SELECT page_id, min_by(codes[1], ord * 100 + field_ord) AS first_code, CAST(sum(len(codes)) AS BIGINT) AS n_violations FROM c GROUP BY page_id)
 SELECT e.page_id, count(*) AS n_elements, coalesce(any_value(f.n_violations), 0) AS n_violations, any_value(f.first_code) AS first_code, any_value(f.first_code) IS NULL AS safe FROM e LEFT JOIN f ON e.page_id = f.page_id GROUP BY e.page_id""",
+    "sanitised_treatments": _treatments_sql(),
     "server_verdicts": _server_sql(),
     "server_reasons": f"SELECT reason, count(*) AS n_requests FROM ({_server_sql()}) GROUP BY reason",
     "pattern_inventory": INVENTORY_SQL,

@@ -73,6 +73,17 @@ UNION ALL SELECT producer_id, file_seq, field, 'retyped' FROM l WHERE len(pk) >
 
 
 ORACLES = {
+    "p3_tables": """
+WITH q AS (SELECT DISTINCT ON (request_id) * FROM agent_requests),
+d AS (SELECT unnest(dom) AS x FROM q), r AS (SELECT unnest(redactions) AS x FROM q)
+SELECT 'requests' AS table_name, count(*) AS n_rows FROM q
+UNION ALL SELECT 'dom', count(*) FROM d
+UNION ALL SELECT 'dom__attrs', CAST(coalesce(sum(cardinality(x.attrs)), 0) AS BIGINT) FROM d
+UNION ALL SELECT 'redactions', count(*) FROM r
+UNION ALL SELECT 'redactions__element_ids', CAST(coalesce(sum(len(x.element_ids)), 0) AS BIGINT) FROM r
+UNION ALL SELECT 'redactions__merged_from', CAST(coalesce(sum(len(x.provenance.merged_from)), 0) AS BIGINT) FROM r
+UNION ALL SELECT 'bbox', (SELECT count(*) FROM d WHERE x.bbox IS NOT NULL) + (SELECT count(*) FROM r WHERE x.bbox IS NOT NULL)
+UNION ALL SELECT 'step_history', CAST(coalesce(sum(len(step_history)), 0) AS BIGINT) FROM q""",
     "p6_found": _drift_sql(),
     "p3_found": """
 WITH r AS (SELECT DISTINCT request_id, dom, redactions, step_history FROM agent_requests),
