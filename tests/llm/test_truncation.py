@@ -79,3 +79,22 @@ def test_rates_and_empty(spark):
     assert rates["t.example"] == (2, 1, 0.5)
     assert truncation.cut_elements(df.limit(0)).count() == 0
     assert truncation.cut_elements(spark.createDataFrame([row("long", "word " * 100_000)], S)).count() >= 0
+
+
+def test_short_texts(spark):
+    labels = [row(f"label{i}", "Notes of fol", f"s{i}.example") for i in range(3)]
+    got = cut(
+        spark,
+        row("two", "Nobody finis"),
+        row("three", "Ask for th"),
+        row("letter", "The folio w"),
+        row("alone", "Nobod"),
+        row("unseen", "Silent manuscr"),
+        row("marked", "Whoever finds th…"),
+        row("whole", "Nobody finished"),
+        row("marked_whole", "Nobody finished…"),
+        row("plan", "Plan W"),
+        row("fragment_alone", "Manuscr"),
+        *labels,
+    )
+    assert got == {"two", "three", "letter", "alone", "unseen", "marked"}

@@ -9,8 +9,10 @@ others was cut; so was a sentence that ends where the corpus never ends one. A m
 the words before it always end there ("to be continued").
 
 All counts are by aggregation and equi-join over the whole table; nothing is collected. Defined cases: null and empty
-texts are no cases; texts of fewer than `least_words` words are judged by their ending only if they carry a mark that
-follows a cut word; identical rows and repeated texts count once in the statistics; ties between storage forms are
+texts are no cases; texts of fewer than `least_words` words, or of mostly numbers, are judged only by a cut last word,
+with or without a mark: one that starts longer words, or goes on in another text with the same words before it (both,
+where it is the only word); they are whole if they stand so on several sites. A lone letter after a number or in upper
+case is a label, not a cut word, unless another text goes on there; identical rows and repeated texts count once in the statistics; ties between storage forms are
 irrelevant, as any limit met is enough; texts are processed whole; an empty table gives an empty result.
 """
 
@@ -60,8 +62,20 @@ def endings(texts: DataFrame) -> DataFrame:
     return rows.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("total"), F.sum("ended").alias("ended"), F.sum("final").alias("final"), F.sum("omitted").alias("omitted"))
 
 
-def candidates(elements: DataFrame) -> DataFrame:
-    """Elements whose text has no closing punctuation, or a mark of omission, with their last words."""
+def starts(elements: DataFrame, least_words: int = 4) -> DataFrame:
+    """(start, own, continued): texts of under `least_words` words by the sites they stand on, and their beginnings cut within a word by the sites of the texts that go on."""
+    first = F.regexp_extract("t", rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]+(?:['’\-][\p{{L}}\p{{N}}]+)*){{1,{least_words}}}", 0)
+    rows = elements.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("site", plain(F.col("text")).alias("t"))
+    rows = rows.select("site", F.transform(F.regexp_extract_all(first, F.lit(WORD), F.lit(1)), F.lower).alias("w")).filter(F.size("w") > 0).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    own = rows.filter(F.size("w") < least_words).select(F.array_join("w", " ").alias("start"), F.col("n").alias("own"), F.lit(0).cast("long").alias("continued"))
+    rows = rows.groupBy(F.array_join(F.slice("w", 1, least_words - 1), " ").alias("h")).agg(F.sum("n").alias("n"))
+    parts = F.filter(F.sequence(F.lit(1), F.length("h") - 1), lambda i: ~F.substring("h", i, F.lit(2)).contains(" "))
+    more = rows.filter(F.length("h") > 1).select(F.explode(F.transform(parts, lambda i: F.left("h", i))).alias("start"), F.lit(0).cast("long").alias("own"), F.col("n").alias("continued"))
+    return own.unionByName(more).groupBy("start").agg(F.sum("own").alias("own"), F.sum("continued").alias("continued"))
+
+
+def candidates(elements: DataFrame, least_words: int = 4) -> DataFrame:
+    """Elements whose text has no closing punctuation, or a mark of omission, with their last words; `start` has all words of the short ones."""
     rows = elements.select("page_id", "element_id", "site", "tag", "text").filter(F.col("text").isNotNull() & (F.col("text") != ""))
     rows = rows.withColumn("t", plain(F.col("text"))).filter(F.col("t").rlike(r"\p{L}"))
     rows = rows.withColumn("marked", F.col("t").rlike(MARK)).withColumn("body", F.regexp_replace("t", MARK, ""))
@@ -71,21 +85,22 @@ def candidates(elements: DataFrame) -> DataFrame:
 
     def shape(x: Column) -> Column:
         w, s = x["w"], x["s"]
-        n = F.size(w)
+        n, n_alpha = F.size(w), F.size(F.filter(w, lambda v: v.rlike(r"^\p{L}")))
         stops = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(s, i - 1).rlike(ENDS) & (i < n))
         return F.when(
             n > 0,
             F.struct(
                 n.alias("n_words"), F.element_at(w, -1).alias("word"), F.when((n == 1) | F.get(s, n - 2).rlike(ENDS), F.lit("^")).otherwise(F.get(w, n - 2)).alias("prev"),
-                F.size(stops).alias("n_sentences"), (n - F.coalesce(F.array_max(stops), F.lit(0))).alias("tail_words"), F.size(F.filter(w, lambda v: v.rlike(r"^\p{L}"))).alias("n_alpha"),
+                F.size(stops).alias("n_sentences"), (n - F.coalesce(F.array_max(stops), F.lit(0))).alias("tail_words"), n_alpha.alias("n_alpha"),
                 F.element_at(s, -1).rlike(r"^\s*[,;–—]\s*$").alias("open_tail"),
+                F.when((n < least_words) | (n_alpha < 3), F.array_join(w, " ")).alias("start"),
             ),
         )
 
     # bound once: a filter pushed below would otherwise put the extraction inside the loops over its own result
     info = F.element_at(F.transform(F.array(F.struct(words.alias("w"), tails.alias("s"))), shape), 1)
     rows = rows.withColumn("i", info).filter(F.col("i").isNotNull())
-    return rows.select("page_id", "element_id", "site", "tag", "text", "t", "marked", "i.*")
+    return rows.select("page_id", "element_id", "site", "tag", "text", "t", "body", "marked", "i.*")
 
 
 def _running() -> Column:
@@ -107,7 +122,7 @@ def limits(rows: DataFrame, least: int = 4, peak: float = 4.0, reach: int = 3) -
 
 def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
     """Every candidate with its evidence and `cut`."""
-    rows = candidates(elements)
+    rows = candidates(elements, least_words)
     texts = elements.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(plain(F.col("text")).alias("t")).distinct()
     pairs = endings(texts)
     single = pairs.groupBy("word").agg(F.sum("total").alias("word_total"), (F.sum("ended") + F.sum("final")).alias("word_last"), F.sum("final").alias("word_final"))
@@ -118,6 +133,8 @@ def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
     at = limits(rows)
     hit = rows.filter(_running()).select("page_id", "element_id", "site", F.explode(lengths(F.col("text"))).alias("form", "length")).join(at.select("site", "form", "length", "n"), ["site", "form", "length"]).groupBy("page_id", "element_id").agg(F.max("n").alias("limit_n"), F.max_by("form", "n").alias("limit_form"), F.max_by("length", "n").alias("limit_length"))
     found = found.join(hit, ["page_id", "element_id"], "left")
+    # texts without a start are spread by their page
+    found = found.withColumn("k", F.coalesce("start", F.concat(F.lit("\n"), "page_id"))).join(starts(elements, least_words).withColumnRenamed("start", "k"), "k", "left").drop("k").fillna(0, ["own", "continued"])
     # without the text itself
     pair_total, pair_last = F.col("pair_total") - 1, F.col("pair_ended") + F.col("pair_final") - 1
     word_total, word_last = F.col("word_total") - 1, F.col("word_last") - 1
@@ -131,7 +148,12 @@ def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
     stock = F.coalesce(F.col("pair_end") >= 0.97, F.lit(False)) & (2 * F.col("pair_omitted") >= F.col("pair_ended") + F.col("pair_final"))
     long = (F.col("n_words") >= least_words) & (F.col("n_alpha") >= 3)
     limited = F.col("limit_n").isNotNull()
-    cut = long & F.when(F.col("marked"), fragment | ~stock).otherwise(F.col("open_tail") | F.coalesce(fragment | never, F.lit(False)) | (limited & F.coalesce(F.col("pair_end") < 0.5, F.lit(True))))
+    # short texts: only a cut word counts
+    letter = (F.length("word") == 1) & (F.col("prev").rlike("^[0-9]") | ~F.col("body").rlike(r"\p{Ll}[^\p{L}\p{N}]*$"))
+    continued = (F.col("continued") > 0) & (never | (goes_on * 20 <= F.col("longer")))
+    repeated = (F.col("own") >= 2) & (F.col("own") * 20 > F.col("continued"))
+    short = ~repeated & F.when(F.col("n_words") == 1, fragment & continued).otherwise((fragment & ~letter) | continued)
+    cut = F.when(~long, short).when(F.col("marked"), fragment | ~stock).otherwise(F.col("open_tail") | F.coalesce(fragment | never, F.lit(False)) | (limited & F.coalesce(F.col("pair_end") < 0.5, F.lit(True))))
     return found.select("*", fragment.alias("fragment"), never.alias("never"), stock.alias("stock"), prose.alias("prose"), cut.alias("cut"))
 
 
