@@ -102,3 +102,23 @@ def test_steady_table(spark):
     df = files(spark, [record({"scrollTop": "12.5px", "vpWidth": "768"}, [{"nodeId": 7, "fieldType": ["email"]}, {"id": "x"}])]).withColumns({"record_no": F.lit(1), "received_at": F.lit(None).cast("timestamp")})
     got = [(r["scroll_y"], r["viewport_width"], r["entry_ord"], r["element_id"], r["input_type"]) for r in drift.steady(df).orderBy("entry_ord").collect()]
     assert got == [(12.5, 768, 0, "7", "email"), (12.5, 768, 1, "x", None)]
+
+
+def test_deep_scan_at_any_depth(spark, tmp_path):
+    from veilmark.plans import audit
+
+    deep = "key ghp_" + "a1" * 18
+    for i in range(8):
+        deep = [deep] if i % 2 else {"k": deep}
+    payloads = [
+        json.dumps({"deep": deep, "n": 1}),
+        json.dumps({"a": {"id": "ghp_" + "b2" * 18, "type": "a@b.example"}, 'q"{[': 'x\\"]}'}),
+        json.dumps({"u": "https://x.example/a?token=abc", "v": "https://x.example/a?page=2", "e": [], "t": ""}),
+        "{broken",
+        None,
+    ]
+    spark.createDataFrame([(p,) for p in payloads], "payload string").write.parquet(f"{tmp_path}/capture_records.parquet")
+    got = {(r["path"], r["code"]): r["n"] for r in audit.deep_scan(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("deep[].k[].k[].k[].k", "LEAKED_API_KEY"): 1, ("a.id", "LEAKED_SECRET"): 1, ("a.type", "none"): 1, ('q"{[', "none"): 1, ("u", "SENSITIVE_URL_PARAM"): 1, ("v", "none"): 1,
+    }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import patterns as P
 from veilmark.functions import text as X
+from veilmark.functions import urls
 from veilmark.operators import detectors, evaluation, regions, telemetry, vision
 from veilmark.plans import sqltext as S
 from veilmark.sources import corpus, table
@@ -14,6 +15,8 @@ from veilmark.sources import corpus, table
 ALLOWED = ("pageState", "elements")
 #: Keys that name raw data by themselves (fixed values).
 SUSPICIOUS = ("rawpassword", "raw_password", "raw_pwd", "rawsecret", "raw_secret", "rawdom", "raw_dom", "rawscreenshot", "raw_screenshot", "unredacted", "plaintext")
+#: Keys of the payload's own structure: their values are searched for private and API keys only (fixed values).
+STRUCTURAL = ("id", "element_id", "tag", "role", "semanticRole", "source", "treatment", "severity", "policy_version", "version", "ruleId", "detector", "rawType", "action", "type")
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -60,25 +63,35 @@ def region_sources_merged(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("request_id").agg(F.array_join(all_of, "|").alias("merged_from"), F.count(F.lit(1)).alias("n"))
 
 
+def _nesting(payload: Column) -> Column:
+    """Levels of objects and arrays in a JSON text."""
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(payload, r"(?s)\\.", ""), r'"[^"]*"', ""), r"[^\[\]{}]", "")
+    step = lambda a, c: X.let(a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1), lambda n: F.struct(n.alias("now"), F.greatest(a["most"], n).alias("most")))
+    return F.when(marks != "", F.aggregate(F.split(marks, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])).otherwise(0)
+
+
 def deep_scan(spark: SparkSession, d: str) -> DataFrame:
     """Every string of the payloads at any depth with a rule it breaks, counted by path and code.
 
-    The payload is walked level by level as a variant: objects and arrays are exploded, strings judged.
+    The payload is walked level by level as a variant, as many levels as the deepest payload has: objects and arrays
+    are exploded, strings kept and judged at the end.
     """
-    c = table(spark, d, "capture_records").select(F.try_parse_json("payload").alias("v")).filter(F.col("v").isNotNull())
+    c = table(spark, d, "capture_records").select("payload", F.try_parse_json("payload").alias("v")).filter(F.col("v").isNotNull())
+    depth = c.agg(F.max(_nesting(F.col("payload")))).first()[0] or 0
     level = c.select(F.lit("").alias("path"), F.lit("").alias("key"), "v")
-    found = None
-    for _ in range(4):
-        kind = F.schema_of_variant("v")
-        leaf = level.filter(kind == "STRING").select("path", "key", F.trim(F.variant_get("v", "$", "string")).alias("s"))
-        found = leaf if found is None else found.unionByName(leaf)
-        objects = level.filter(kind.startswith("OBJECT")).select("path", F.explode(F.variant_get("v", "$", "map<string,variant>")).alias("key", "v"))
-        lists = level.filter(kind.startswith("ARRAY")).select("path", F.explode(F.variant_get("v", "$", "array<variant>")).alias("v")).select(F.concat("path", F.lit("[]")).alias("path"), F.lit("").alias("key"), "v")
-        level = objects.select(F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), "key", "v").unionByName(lists)
+    for _ in range(depth):
+        kind, path = F.schema_of_variant("v"), F.col("path")
+        node = lambda p, k, v: F.struct(p.alias("path"), k.alias("key"), v.alias("v"))
+        objects = F.transform(F.map_entries(F.variant_get("v", "$", "map<string,variant>")), lambda e: node(F.concat_ws(".", F.nullif(path, F.lit("")), e["key"]), e["key"], e["value"]))
+        lists = F.transform(F.variant_get("v", "$", "array<variant>"), lambda v: node(F.concat(path, F.lit("[]")), F.lit(""), v))
+        level = level.select(F.explode(F.when(kind.startswith("OBJECT"), objects).when(kind.startswith("ARRAY"), lists).when(kind == "STRING", F.array(node(path, F.col("key"), F.col("v"))))).alias("x")).select("x.*")
+    found = level.filter(F.schema_of_variant("v") == "STRING").select("path", "key", F.trim(F.variant_get("v", "$", "string")).alias("s"))
     s = F.col("s")
+    secret = X.matches(s, P.PRIVATE_KEY) | X.matches(s, P.API_KEY)
     code = (
-        F.when(X.contains_any(F.col("key"), SUSPICIOUS), "SUSPICIOUS_KEY_NAME").when(X.matches(s, P.PRIVATE_KEY), "LEAKED_PRIVATE_KEY").when(X.matches(s, P.API_KEY), "LEAKED_API_KEY").when(X.matches(s, P.CARD_LOOSE), "LEAKED_CREDIT_CARD")
-        .when(X.matches(s, P.EMAIL), "LEAKED_EMAIL").when(X.matches(s, P.PHONE), "LEAKED_PHONE").when(X.matches(s, P.NATIONAL_ID), "LEAKED_NATIONAL_ID").otherwise("none")
+        F.when(X.contains_any(F.col("key"), SUSPICIOUS), "SUSPICIOUS_KEY_NAME").when(F.col("key").isin(*STRUCTURAL), F.when(secret, "LEAKED_SECRET").otherwise("none"))
+        .when(X.matches(s, P.PRIVATE_KEY), "LEAKED_PRIVATE_KEY").when(X.matches(s, P.API_KEY), "LEAKED_API_KEY").when(X.matches(s, P.CARD_LOOSE), "LEAKED_CREDIT_CARD")
+        .when(X.matches(s, P.EMAIL), "LEAKED_EMAIL").when(X.matches(s, P.PHONE), "LEAKED_PHONE").when(X.matches(s, P.NATIONAL_ID), "LEAKED_NATIONAL_ID").when(urls.is_sensitive(s), "SENSITIVE_URL_PARAM").otherwise("none")
     )
     return found.filter((s != "") & (s != P.REDACTED)).groupBy("path", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
