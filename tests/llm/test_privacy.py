@@ -98,3 +98,9 @@ def test_nothing_leaks(spark):
     """What is found is gone from the redacted value."""
     for r in privacy.redacted(spark.createDataFrame(ROWS, S)).collect():
         assert not re.search(r"@|Varnosso|Quistholt|OSTVSTAD|Tarrarro|23125", r["redacted"])
+
+
+@pytest.mark.parametrize("t", ["KOFI (AT) UNI.EXAMPLE", "kofi [At] uni.example"])
+def test_spelled_out_at_in_any_case(spark, t):
+    df = spark.createDataFrame([(t,)], "v string")
+    assert df.select(privacy.masked(df["v"])["email"]).first()[0] == "[EMAIL]"

@@ -36,7 +36,7 @@ TERM = r"\p{L}[\p{L}’']*"
 
 def masked(v: Column) -> dict[str, Column]:
     """v after each formal type has been replaced, in order; the last is the text names are looked for in."""
-    at = F.when(v.rlike(r"@|[\[(]\s?at\s?[\])]"), F.regexp_replace(v, P.EMAIL, "[EMAIL]")).otherwise(v)
+    at = F.when(v.rlike(r"(?i)@|[\[(]\s?at\s?[\])]"), F.regexp_replace(v, P.EMAIL, "[EMAIL]")).otherwise(v)
     digits = v.rlike(r"[0-9]")
     phone = F.when(digits, F.regexp_replace(at, P.PHONE, "[PHONE]")).otherwise(at)
     number = F.when(digits, F.regexp_replace(phone, P.ID, "[ID]")).otherwise(phone)
