@@ -119,3 +119,11 @@ def test_text_bands():
     a = np.full((100, 200, 3), 255, np.uint8)
     a[40:56, ::4] = 0
     assert [(b["y"], b["height"]) for b in vision.text_lines(a)] == [(40, 16)]
+
+
+def test_large_pages_are_merged_whole(spark):
+    n = 1501
+    rows = [("p", f"r{i:04}", "email", (20.0 * i, 0.0, 10.0, 10.0), 0.9, "medium", "mask") for i in range(n)] + [("p", "twin", "email", (1.0, 0.0, 10.0, 10.0), 0.8, "medium", "mask")]
+    df = spark.createDataFrame(rows, "page string, region_id string, type string, bbox struct<x:double,y:double,width:double,height:double>, confidence double, severity string, redaction string")
+    out = regions.merge_regions(df, "page").collect()
+    assert len(out) == n and sum(len(r["merged_from"]) for r in out) == n + 1

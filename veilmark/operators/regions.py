@@ -2,7 +2,7 @@
 
 Pairs are found within a page through a grid: boxes are exploded to the cells they touch and joined on page and cell,
 each pair once, so a page with many boxes is no quadratic join. The greedy merge depends on order and runs per page
-over that page's regions; a page is bounded by the payload cap (`MAX_REGIONS`) and larger ones are refused, not cut.
+over all regions of that page, however many; its time grows with their square.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import geometry as G
 from veilmark.functions import patterns as P
 
 CELL = 200.0
-IOU_MERGE, CONTAINMENT_MERGE, MATCH_IOU, MAX_PASSES, MAX_REGIONS = 0.15, 0.6, 0.3, 20, 1500
+IOU_MERGE, CONTAINMENT_MERGE, MATCH_IOU, MAX_PASSES = 0.15, 0.6, 0.3, 20
 
 
 def _map(values: dict) -> Column:
@@ -170,7 +170,6 @@ def merge_regions(regions: DataFrame, page: str) -> DataFrame:
     schema = f"{page} string, region_id string, type string, x double, y double, width double, height double, confidence double, severity string, redaction string, merged_from array<string>"
     names = [c.split()[0] for c in schema.split(", ")]
     flat = regions.select(page, "region_id", "type", "bbox.x", "bbox.y", "bbox.width", "bbox.height", "confidence", "severity", "redaction")
-    sized = flat.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(page))).filter(F.col("__n") <= MAX_REGIONS).drop("__n")
 
     def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, out = None, [], []
@@ -187,4 +186,4 @@ def merge_regions(regions: DataFrame, page: str) -> DataFrame:
         if out:
             yield pd.DataFrame(out)[names]
 
-    return sized.repartition(page).sortWithinPartitions(page, "region_id").mapInPandas(flow, schema)
+    return flat.repartition(page).sortWithinPartitions(page, "region_id").mapInPandas(flow, schema)
