@@ -61,9 +61,37 @@ def test_hidden_limit_in_bytes(spark):
     for i in range(9):
         text = f"{base[i:]}{WHOLE[i % 4]} {WHOLE[(i + 1) % 4]}".encode()[:120].decode(errors="ignore")
         rows.append(row(f"b{i}", text, "limit.example"))
+    # of the limit's length, with an ending of its own that the corpus knows as whole
+    whole = "Über the narrow binding, the reader, the volume, the folio and the noon: the reader can be repaired with a single tool"
+    rows.append(row("whole", whole + "s" * (120 - len(whole.encode())), "limit.example"))
     df = spark.createDataFrame(corpus() + rows, S)
-    found = {(r["site"], r["length"]) for r in truncation.limits(truncation.candidates(df)).filter("form = 'bytes'").collect()}
-    assert ("limit.example", 120) in found
+    judged = truncation.judged(df).filter("site = 'limit.example'")
+    assert {(r["length"]) for r in truncation.limits(judged).filter("form = 'bytes'").collect()} == {120}
+    got = {r["text"]: r["evidence"] for r in judged.collect()}
+    assert got and set(got.values()) == {"limit"}
+    assert any(t.endswith("tools") or t.endswith("tool") or "single tools" in t for t in got)
+
+
+def test_short_limits_count_too(spark):
+    """No length is too short for a limit: the pile-up and the endings decide."""
+    words = ["Nobody finished the manusc", "Whoever finds the manuscri", "The temporary folio was in", "We inspected every narrow ", "A good manuscript lasts fo", "Ask for the temporary volu"]
+    df = spark.createDataFrame(corpus() + [row(f"s{i}", t.strip() if len(t.strip()) == 26 else t[:25] + "x", "small.example") for i, t in enumerate(words)], S)
+    judged = truncation.judged(df)
+    assert truncation.limits(judged.filter("site = 'small.example'")).filter("form = 'chars' AND length = 26").count() == 1
+
+
+def test_continued(spark):
+    entries = spark.createDataFrame([("a", 1), ("ab", 2), ("abc", 4), ("abcdefghij", 8), ("abcdefghijk", 16), ("ab cd", 32), ("b", 64)], "word string, n long")
+    asked = spark.createDataFrame([("a",), ("ab",), ("abcdefghi",), ("abcdefghij",), ("zz",), ("b",)], "word string")
+    for k in (2, 3, 8, 40):
+        got = {r["word"]: r["longer"] for r in truncation.continued(entries, asked, k).collect()}
+        assert got == {"a": 62, "ab": 28, "abcdefghi": 24, "abcdefghij": 16}
+
+
+def test_one_very_long_word(spark):
+    """A token of a million letters is one entry, not a million prefixes."""
+    df = spark.createDataFrame(corpus() + [row("huge", "x" * 1_000_000), row("cut", "Nobody finished the manusc")], S)
+    assert {r["element_id"] for r in truncation.cut_elements(df).collect()} == {"cut"}
 
 
 def test_lengths(spark):
@@ -78,7 +106,7 @@ def test_rates_and_empty(spark):
     rates = {r["site"]: (r["n_texts"], r["n_cut"], r["cut_share"]) for r in truncation.site_rates(df).collect()}
     assert rates["t.example"] == (2, 1, 0.5)
     assert truncation.cut_elements(df.limit(0)).count() == 0
-    assert truncation.cut_elements(spark.createDataFrame([row("long", "word " * 100_000)], S)).count() >= 0
+    assert truncation.cut_elements(spark.createDataFrame([row("long", "word " * 100_000)], S)).count() == 1  # within the text, this word always goes on
 
 
 def test_short_texts(spark):

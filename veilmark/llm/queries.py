@@ -69,7 +69,7 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_elements(table(spark, d, "elements"))
+    return truncation.cut_elements(table(spark, d, "elements")).select("page_id", "element_id")
 
 
 def p7_site_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -1,170 +1,292 @@
 """Texts cut off by field limits or mid-transfer.
 
-Two kinds of evidence. Limits: the length of every unfinished text is recomputed under several storage forms
-(characters, UTF-8 bytes, UTF-16 units, HTML- and JSON-escaped, CRLF line ends); a site and form whose unfinished
-texts pile up at one length has a hidden limit there. Endings: the last word and the last two words are held against
-counts over the whole corpus (each distinct text once): how often they go on, how often they end a sentence, how
-often they end a text, and how often longer words start with the last word. A word that only exists as the start of
-others was cut; so was a sentence that ends where the corpus never ends one. A mark of omission is evidence unless
-the words before it always end there ("to be continued").
-
-All counts are by aggregation and equi-join over the whole table; nothing is collected. Defined cases: null and empty
-texts are no cases; texts of fewer than `least_words` words, or of mostly numbers, are judged only by a cut last word,
-with or without a mark: one that starts longer words, or goes on in another text with the same words before it (both,
-where it is the only word); they are whole if they stand so on several sites. A lone letter after a number or in upper
-case is a label, not a cut word, unless another text goes on there; identical rows and repeated texts count once in the statistics; ties between storage forms are
-irrelevant, as any limit met is enough; texts are processed whole; an empty table gives an empty result.
+First the hidden limits. The length of every open text (no closing punctuation, or a mark of omission) is recomputed
+under several storage forms (characters, UTF-8 bytes, UTF-16 units, HTML- and JSON-escaped, CRLF line ends) and
+counted by site, form and length. Where a site's open texts pile up at one length, their endings are inspected: if at
+least half of them end as the corpus hardly ever does, the site has a limit there, and all its open texts of that
+length were cut, whatever their own ending. Then the endings of all other open texts, for what was lost in transfer.
+
+Endings are held against counts over the whole corpus, each distinct text once: how often the last word and the last
+two words go on, end a sentence or end a text, and how often longer words start with the last word. A word that only
+exists as the start of others was cut; so was a sentence that ends where the corpus never ends one. A mark of omission
+is evidence unless the corpus always stops at these words ("to be continued"), judged by the last two words or by the
+whole last sentence where it has two to four words.
+
+Every distinct text is read once, whatever the number of its elements. All counts are by aggregation and equi-join
+over the whole table; prefixes are counted in a stream of sorted words, none is multiplied out beyond seven letters;
+nothing is collected. Texts are compared in their consistent form (`normalise`), lengths are those of the stored text.
+
+Defined cases: null and empty texts and texts without a letter are no cases; texts of fewer than `least_words` words,
+or of mostly numbers, are judged by a limit or a cut last word, with or without a mark: one that starts longer words,
+or goes on in another text with the same words before it (both, where it is the only word); they are whole if they
+stand so on several sites. A lone letter after a number or in upper case is a label, not a cut word, unless another
+text goes on there. Identical rows and repeated texts count once in the statistics; a text met by several limits is
+reported once; texts are processed whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.letters import plain
+from veilmark.llm.normalise import consistent
 
-MARK = r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})\s*$"
-CLOSED = r"[.!?:;。！？…][\"'”’»)\]]*$"
-WORD = r"([\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*)([^\p{L}\p{N}]*)"
-ENDS = r"^[\"'”’»)\]]*[.!?…。！？]"
-OMITTED = r"^\s*[\[(]?\s*(?:…|\.{3})"
+_MARKS = r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})\s*"
+MARK = re.compile(_MARKS + r"\Z")
+CLOSED = re.compile(r"[.!?:;。！？…][\"'”’»)\]]*\Z")
+WORD = re.compile(r"([^\W_]+(?:['’\-][^\W_]+)*)")
+ENDS = re.compile(r"[\"'”’»)\]]*[.!?…。！？]")
+OMITTED = re.compile(r"\s*[\[(]?\s*(?:…|\.{3})")
+OPEN_TAIL = re.compile(r"\s*[,;–—]\s*\Z")
 FORMS = ("chars", "bytes", "utf16", "html", "html_bytes", "json", "crlf")
+#: Words at a sentence's start that are also counted with all words before them.
+OPENING = 4
+FLUSH = 200_000
+
+
+def maybe_open(text: Column) -> Column:
+    """Texts with letters that may be unfinished: a superset, decided without the consistent form."""
+    return text.rlike(r"\p{L}") & (~text.rlike(r"[.!?:;。！？…][\"'”’»)\]]*\z") | text.rlike(_MARKS + r"\z"))
 
 
 def lengths(text: Column) -> Column:
     """Map of storage form to length."""
     count = lambda ch: F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
     chars, size = F.length(text), F.octet_length(text)
-    astral = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", ""))
-    html = 4 * count("&") + 3 * count("<") + 3 * count(">") + 5 * count('"') + 4 * count("'")
-    wide = F.length(F.regexp_replace(text, r"[\x00-\x7f]", "")) + astral
-    json = count('"') + count("\\") + count("\n") + count("\r") + count("\t")
+    ascii_only = chars == size
+    astral = F.when(ascii_only, 0).otherwise(F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", "")))
+    html = F.when(text.rlike("[&<>\"']"), 4 * count("&") + 3 * count("<") + 3 * count(">") + 5 * count('"') + 4 * count("'")).otherwise(0)
+    wide = F.when(ascii_only, 0).otherwise(F.length(F.regexp_replace(text, r"[\x00-\x7f]", "")) + astral)
+    json = F.when(text.rlike(r'["\\\n\r\t]'), count('"') + count("\\") + count("\n") + count("\r") + count("\t")).otherwise(0)
     values = (chars, size, chars + astral, chars + html, size + html, chars + astral + json + 5 * wide, chars + count("\n"))
     return F.create_map(*[x for name, v in zip(FORMS, values, strict=True) for x in (F.lit(name), v.cast("int"))])
 
 
+def keyed(elements: DataFrame) -> DataFrame:
+    """(site, text, h1, h2): the distinct texts of each site that have a letter, with the text's two hashes."""
+    rows = elements.filter(F.col("text").rlike(r"\p{L}")).select("site", "text").distinct()
+    return rows.select("site", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"))
+
+
+def _words(text: str) -> tuple[list[str], list[str]]:
+    """Words in lower case, and what follows each."""
+    parts = WORD.split(text)
+    return [w.lower() for w in parts[1::2]], parts[2::2]
+
+
 def endings(texts: DataFrame) -> DataFrame:
-    """(prev, word, total, ended, final, omitted): how the words of distinct texts `t` go on. prev is '^' at a text's start."""
-    words = F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(1)), F.lower)
-    tails = F.regexp_extract_all("t", F.lit(WORD), F.lit(2))
-    rows = texts.select(words.alias("w"), tails.alias("s")).filter(F.size("w") > 0)
-
-    def entry(word: Column, i: Column) -> Column:
-        tail = F.get("s", i)
-        stop = F.when(i == 0, True).otherwise(F.get("s", i - 1).rlike(ENDS))
-        last = i == F.size("w") - 1
-        return F.struct(
-            F.when(stop, F.lit("^")).otherwise(F.get("w", i - 1)).alias("prev"), word.alias("word"),
-            (tail.rlike(ENDS)).cast("int").alias("ended"), (last & ~tail.rlike(ENDS)).cast("int").alias("final"), tail.rlike(OMITTED).cast("int").alias("omitted"),
-        )
-
-    rows = rows.select(F.explode(F.transform("w", entry)).alias("x")).select("x.*")
-    return rows.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("total"), F.sum("ended").alias("ended"), F.sum("final").alias("final"), F.sum("omitted").alias("omitted"))
-
-
-def starts(elements: DataFrame, least_words: int = 4) -> DataFrame:
-    """(start, own, continued): texts of under `least_words` words by the sites they stand on, and their beginnings cut within a word by the sites of the texts that go on."""
-    first = F.regexp_extract("t", rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]+(?:['’\-][\p{{L}}\p{{N}}]+)*){{1,{least_words}}}", 0)
-    rows = elements.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("site", plain(F.col("text")).alias("t"))
-    rows = rows.select("site", F.transform(F.regexp_extract_all(first, F.lit(WORD), F.lit(1)), F.lower).alias("w")).filter(F.size("w") > 0).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    own = rows.filter(F.size("w") < least_words).select(F.array_join("w", " ").alias("start"), F.col("n").alias("own"), F.lit(0).cast("long").alias("continued"))
-    rows = rows.groupBy(F.array_join(F.slice("w", 1, least_words - 1), " ").alias("h")).agg(F.sum("n").alias("n"))
-    parts = F.filter(F.sequence(F.lit(1), F.length("h") - 1), lambda i: ~F.substring("h", i, F.lit(2)).contains(" "))
-    more = rows.filter(F.length("h") > 1).select(F.explode(F.transform(parts, lambda i: F.left("h", i))).alias("start"), F.lit(0).cast("long").alias("own"), F.col("n").alias("continued"))
-    return own.unionByName(more).groupBy("start").agg(F.sum("own").alias("own"), F.sum("continued").alias("continued"))
-
-
-def candidates(elements: DataFrame, least_words: int = 4) -> DataFrame:
-    """Elements whose text has no closing punctuation, or a mark of omission, with their last words; `start` has all words of the short ones."""
-    rows = elements.select("page_id", "element_id", "site", "tag", "text").filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    rows = rows.withColumn("t", plain(F.col("text"))).filter(F.col("t").rlike(r"\p{L}"))
-    rows = rows.withColumn("marked", F.col("t").rlike(MARK)).withColumn("body", F.regexp_replace("t", MARK, ""))
-    rows = rows.filter(F.col("marked") | ~F.col("t").rlike(CLOSED))
-    words = F.transform(F.regexp_extract_all("body", F.lit(WORD), F.lit(1)), F.lower)
-    tails = F.regexp_extract_all("body", F.lit(WORD), F.lit(2))
-
-    def shape(x: Column) -> Column:
-        w, s = x["w"], x["s"]
-        n, n_alpha = F.size(w), F.size(F.filter(w, lambda v: v.rlike(r"^\p{L}")))
-        stops = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(s, i - 1).rlike(ENDS) & (i < n))
-        return F.when(
-            n > 0,
-            F.struct(
-                n.alias("n_words"), F.element_at(w, -1).alias("word"), F.when((n == 1) | F.get(s, n - 2).rlike(ENDS), F.lit("^")).otherwise(F.get(w, n - 2)).alias("prev"),
-                F.size(stops).alias("n_sentences"), (n - F.coalesce(F.array_max(stops), F.lit(0))).alias("tail_words"), n_alpha.alias("n_alpha"),
-                F.element_at(s, -1).rlike(r"^\s*[,;–—]\s*$").alias("open_tail"),
-                F.when((n < least_words) | (n_alpha < 3), F.array_join(w, " ")).alias("start"),
-            ),
-        )
-
-    # bound once: a filter pushed below would otherwise put the extraction inside the loops over its own result
-    info = F.element_at(F.transform(F.array(F.struct(words.alias("w"), tails.alias("s"))), shape), 1)
-    rows = rows.withColumn("i", info).filter(F.col("i").isNotNull())
-    return rows.select("page_id", "element_id", "site", "tag", "text", "t", "body", "marked", "i.*")
-
-
-def _running() -> Column:
-    """Phrases and headings end openly at any length; limits are looked for in running text only."""
-    return (F.col("n_sentences") >= 1) | F.col("marked") | (F.col("n_words") >= 12)
-
-
-def limits(rows: DataFrame, least: int = 4, peak: float = 4.0, reach: int = 3) -> DataFrame:
-    """(site, form, length): hidden limits, where a site's unfinished texts pile up at one length.
-
-    least: distinct unfinished texts at that length; peak: how far they exceed the average of the `reach` lengths on either side.
+    """(prev, word, total, ended, final, omitted): how the words of distinct texts go on.
+
+    prev is the word before, '^' at a sentence's start, and for the 2nd to 4th word of a sentence also, in rows of
+    their own, '^' and all words before it. Counts are summed within a task before they are shuffled.
     """
-    d = rows.filter(_running()).select("site", "t", F.explode(lengths(F.col("text"))).alias("form", "length")).filter(F.col("length") >= 60)
-    d = d.groupBy("site", "form", "length").agg(F.count_distinct("t").alias("n"))
-    w = Window.partitionBy("site", "form").orderBy("length").rangeBetween(-reach, reach)
-    d = d.withColumn("near", (F.sum("n").over(w) - F.col("n")) / (2 * reach))
-    return d.filter((F.col("n") >= least) & (F.col("n") >= peak * (F.col("near") + 0.25)))
 
+    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, str], list[int]] = {}
 
-def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
-    """Every candidate with its evidence and `cut`."""
-    rows = candidates(elements, least_words)
-    texts = elements.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(plain(F.col("text")).alias("t")).distinct()
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["prev", "word", "total", "ended", "final", "omitted"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                words, tails = _words(consistent(text))
+                last, at, history = len(words) - 1, 0, "^"
+                prev = "^"
+                for i, w in enumerate(words):
+                    tail = tails[i]
+                    if tail == " ":
+                        ended = final = omitted = 0
+                    else:
+                        ended = int(ENDS.match(tail) is not None)
+                        final = int(i == last and not ended)
+                        omitted = int(OMITTED.match(tail) is not None)
+                    for key in ((prev, w), (history, w)) if 0 < at < OPENING else ((prev, w),):
+                        row = seen.get(key)
+                        if row is None:
+                            seen[key] = [1, ended, final, omitted]
+                        else:
+                            row[0] += 1
+                            if tail != " ":
+                                row[1] += ended
+                                row[2] += final
+                                row[3] += omitted
+                    if ended:
+                        prev, at, history = "^", 0, "^"
+                    else:
+                        prev, at = w, at + 1
+                        if at < OPENING:
+                            history = f"{history} {w}"
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+        if seen:
+            yield out()
+
+    rows = texts.select("text").mapInPandas(flow, "prev string, word string, total long, ended long, final long, omitted long")
+    return rows.groupBy("prev", "word").agg(*[F.sum(c).alias(c) for c in ("total", "ended", "final", "omitted")])
+
+
+CANDIDATE = (
+    "h1 long, h2 long, n_sites long, marked boolean, n_words int, n_alpha int, prose boolean, word string, prev string, history string, open_tail boolean, letter boolean, start string"
+)
+
+
+def candidates(texts: DataFrame, least_words: int = 4) -> DataFrame:
+    """The open ones of distinct texts (text, h1, h2, n_sites), with their last words; `start` has all words of the short ones."""
+    names = [c.split()[0] for c in CANDIDATE.split(", ")]
+
+    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, h1, h2, n_sites in zip(batch["text"], batch["h1"], batch["h2"], batch["n_sites"], strict=True):
+                t = consistent(text)
+                mark = MARK.search(t)
+                if not mark and CLOSED.search(t):
+                    continue
+                body = t[: mark.start()] if mark else t
+                words, tails = _words(body)
+                n = len(words)
+                if not n or not any(c.isalpha() for c in body):
+                    continue
+                stops = [i for i in range(n - 1) if tails[i] != " " and ENDS.match(tails[i])]
+                first = stops[-1] + 1 if stops else 0
+                n_alpha = sum(w[0].isalpha() for w in words)
+                prev = words[-2] if n - 1 > first else "^"
+                letter = len(words[-1]) == 1 and (prev[0].isdigit() or not body.rstrip(tails[-1])[-1:].islower())
+                short = n < least_words or n_alpha < 3
+                history = "^ " + " ".join(words[first:-1]) if 2 <= n - first <= OPENING else None
+                rows.append((h1, h2, n_sites, mark is not None, n, n_alpha, bool(stops), words[-1], prev, history, OPEN_TAIL.match(tails[-1]) is not None, letter, " ".join(words) if short else None))
+            yield pd.DataFrame(rows, columns=names)
+
+    return texts.filter(maybe_open(F.col("text"))).select("text", "h1", "h2", "n_sites").mapInPandas(flow, CANDIDATE)
+
+
+def continued(entries: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
+    """(word, longer): summed `n` of the distinct entries (word, n) that go on, within a word, where an asked word ends.
+
+    Asked words of under k characters are counted by a join with the entries' first letters; the others in a stream of
+    sorted words spread by their first k characters, where the asked words that the present one continues form a stack.
+    """
+    asked = asked.select("word").distinct()
+    cuts = F.filter(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: (i < F.length("word")) & (F.substring("word", i + 1, F.lit(1)) != " "))
+    heads = entries.select(F.explode(F.transform(cuts, lambda i: F.left("word", i))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("longer"))
+    small = heads.join(asked.filter(F.length("word") < k), "word", "left_semi")
+
+    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list[list] = []
+        for batch in batches:
+            done = []
+            for word, n, is_asked in zip(batch["word"], batch["n"], batch["asked"], strict=True):
+                while stack and not word.startswith(stack[-1][0]):
+                    done.append(stack.pop())
+                for entry in stack:
+                    if word[len(entry[0])] != " ":
+                        entry[1] += n
+                if is_asked:
+                    stack.append([word, 0])
+            yield pd.DataFrame(done, columns=["word", "longer"])
+        yield pd.DataFrame(stack, columns=["word", "longer"])
+
+    both = entries.select("word", "n", F.lit(False).alias("asked")).unionByName(asked.select("word", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    both = both.filter(F.length("word") >= k).groupBy("word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    large = both.repartition(F.left("word", F.lit(k))).sortWithinPartitions("word").mapInPandas(flow, "word string, longer long")
+    return small.unionByName(large.filter("longer > 0"))
+
+
+def starts(texts: DataFrame, least_words: int = 4) -> DataFrame:
+    """(word, n, own): the first words of distinct texts (text, n_sites) with the sites they stand on; own: of those texts that have no further word."""
+
+    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, n in zip(batch["text"], batch["n_sites"], strict=True):
+                words = [m.group().lower() for m in islice(WORD.finditer(consistent(text)), least_words)]
+                row = seen.setdefault(" ".join(words[: least_words - 1]), [0, 0])
+                row[0] += n
+                row[1] += n if len(words) < least_words else 0
+            yield pd.DataFrame([(k, *v) for k, v in seen.items() if k], columns=["word", "n", "own"])
+
+    return texts.select("text", "n_sites").mapInPandas(flow, "word string, n long, own long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+
+
+def ending_evidence(texts: DataFrame, least_words: int = 4) -> DataFrame:
+    """The open ones of distinct texts (text, h1, h2, n_sites) with `bad` (an ending that was cut) and `stock` (a mark that always stands there)."""
+    rows = candidates(texts, least_words)
     pairs = endings(texts)
-    single = pairs.groupBy("word").agg(F.sum("total").alias("word_total"), (F.sum("ended") + F.sum("final")).alias("word_last"), F.sum("final").alias("word_final"))
-    heads = single.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.left("word", i))).alias("word"), "word_total").filter(F.length("word") > 0)
-    heads = heads.groupBy("word").agg(F.sum("word_total").alias("longer"))
-    words = single.join(heads, "word", "left")
-    found = rows.join(pairs.withColumnsRenamed({"total": "pair_total", "ended": "pair_ended", "final": "pair_final", "omitted": "pair_omitted"}), ["prev", "word"], "left").join(words, "word", "left").fillna(0, ["pair_total", "pair_ended", "pair_final", "pair_omitted", "word_total", "word_last", "word_final", "longer"])
-    at = limits(rows)
-    hit = rows.filter(_running()).select("page_id", "element_id", "site", F.explode(lengths(F.col("text"))).alias("form", "length")).join(at.select("site", "form", "length", "n"), ["site", "form", "length"]).groupBy("page_id", "element_id").agg(F.max("n").alias("limit_n"), F.max_by("form", "n").alias("limit_form"), F.max_by("length", "n").alias("limit_length"))
-    found = found.join(hit, ["page_id", "element_id"], "left")
-    # texts without a start are spread by their page
-    found = found.withColumn("k", F.coalesce("start", F.concat(F.lit("\n"), "page_id"))).join(starts(elements, least_words).withColumnRenamed("start", "k"), "k", "left").drop("k").fillna(0, ["own", "continued"])
+    single = pairs.filter(~F.col("prev").startswith("^ ")).groupBy("word").agg(F.sum("total").alias("word_total"), (F.sum("ended") + F.sum("final")).alias("word_last"))
+    longer = continued(single.select("word", F.col("word_total").alias("n")), rows.select("word"))
+    words = single.join(longer, "word", "left")
+    first = starts(texts, least_words)
+    going = first.select(F.col("word").alias("start"), "own").filter("own > 0").join(continued(first.select("word", "n"), rows.filter("start IS NOT NULL").select(F.col("start").alias("word"))).withColumnsRenamed({"word": "start", "longer": "continued"}), "start", "full")
+    of = lambda name: pairs.withColumnsRenamed({c: f"{name}_{c}" for c in ("total", "ended", "final", "omitted")})
+    found = rows.join(of("pair"), ["prev", "word"], "left").join(words, "word", "left")
+    # texts without the key in question are spread by their own hash
+    spread = F.concat(F.lit("\n"), F.col("h1").cast("string"))
+    found = found.withColumn("hk", F.when(F.col("marked"), F.coalesce("history", spread)).otherwise(spread))
+    found = found.join(of("open").withColumnRenamed("prev", "hk").filter(F.col("hk").startswith("^ ")), ["hk", "word"], "left")
+    found = found.withColumn("sk", F.coalesce("start", spread)).join(going.withColumnRenamed("start", "sk"), "sk", "left")
+    counts = ["pair_total", "pair_ended", "pair_final", "pair_omitted", "open_total", "open_ended", "open_final", "open_omitted", "word_total", "word_last", "longer", "own", "continued"]
+    found = found.fillna(0, counts)
     # without the text itself
     pair_total, pair_last = F.col("pair_total") - 1, F.col("pair_ended") + F.col("pair_final") - 1
     word_total, word_last = F.col("word_total") - 1, F.col("word_last") - 1
-    found = found.withColumn("pair_end", F.when(pair_total >= 5, pair_last / pair_total)).withColumn("word_end", F.when(word_total >= 5, word_last / word_total))
+    pair_end, word_end = F.when(pair_total >= 5, pair_last / pair_total), F.when(word_total >= 5, word_last / word_total)
     goes_on = F.col("word_total") - F.col("word_last")
     fragment = (F.col("longer") >= 10) & (goes_on * 20 <= F.col("longer")) & (word_last * 40 <= F.col("longer")) & ~F.col("word").rlike("[0-9]")
     # after whole sentences, the corpus hardly ever stops at these two words
-    prose = F.col("n_sentences") >= 1
-    never = F.coalesce(F.col("word_end") < 0.02, F.lit(False)) | (prose & F.coalesce(F.col("pair_end") < 0.04, F.lit(False)))
+    never = F.coalesce(word_end < 0.02, F.lit(False)) | (F.col("prose") & F.coalesce(pair_end < 0.04, F.lit(False)))
     # words that always end a text, and mostly with a mark: "to be continued"
-    stock = F.coalesce(F.col("pair_end") >= 0.97, F.lit(False)) & (2 * F.col("pair_omitted") >= F.col("pair_ended") + F.col("pair_final"))
-    long = (F.col("n_words") >= least_words) & (F.col("n_alpha") >= 3)
-    limited = F.col("limit_n").isNotNull()
+    always = lambda total, last, omitted: (total >= 5) & (last >= 0.97 * total) & (2 * omitted >= last + 1)
+    open_total, open_last = F.col("open_total") - 1, F.col("open_ended") + F.col("open_final") - 1
+    stock = F.col("marked") & (always(pair_total, pair_last, F.col("pair_omitted")) | always(open_total, open_last, F.col("open_omitted")))
     # short texts: only a cut word counts
-    letter = (F.length("word") == 1) & (F.col("prev").rlike("^[0-9]") | ~F.col("body").rlike(r"\p{Ll}[^\p{L}\p{N}]*$"))
-    continued = (F.col("continued") > 0) & (never | (goes_on * 20 <= F.col("longer")))
+    goes = (F.col("continued") > 0) & (never | (goes_on * 20 <= F.col("longer")))
     repeated = (F.col("own") >= 2) & (F.col("own") * 20 > F.col("continued"))
-    short = ~repeated & F.when(F.col("n_words") == 1, fragment & continued).otherwise((fragment & ~letter) | continued)
-    cut = F.when(~long, short).when(F.col("marked"), fragment | ~stock).otherwise(F.col("open_tail") | F.coalesce(fragment | never, F.lit(False)) | (limited & F.coalesce(F.col("pair_end") < 0.5, F.lit(True))))
-    return found.select("*", fragment.alias("fragment"), never.alias("never"), stock.alias("stock"), prose.alias("prose"), cut.alias("cut"))
+    short = ~repeated & F.when(F.col("n_words") == 1, fragment & goes).otherwise((fragment & ~F.col("letter")) | goes)
+    bad = F.when(F.col("start").isNotNull(), short).when(F.col("marked"), fragment | ~stock).otherwise(F.col("open_tail") | fragment | never)
+    return found.select("h1", "h2", "marked", "prose", "n_words", "word", fragment.alias("fragment"), never.alias("never"), stock.alias("stock"), "open_tail", bad.alias("bad"))
+
+
+def limits(rows: DataFrame, least: int = 4, peak: float = 4.0, reach: int = 3, confirm: float = 0.5) -> DataFrame:
+    """(site, form, length, n, n_bad): hidden limits, from each site's distinct open texts (site, text, bad).
+
+    least: texts at that length; peak: how far they exceed the average of the `reach` lengths on either side; confirm:
+    the least share of them whose ending was cut.
+    """
+    d = rows.select("site", "bad", F.explode(lengths(F.col("text"))).alias("form", "length"))
+    d = d.groupBy("site", "form", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
+    w = Window.partitionBy("site", "form").orderBy("length").rangeBetween(-reach, reach)
+    d = d.withColumn("near", (F.sum("n").over(w) - F.col("n")) / (2 * reach))
+    return d.filter((F.col("n") >= least) & (F.col("n") >= peak * (F.col("near") + 0.25)) & (F.col("n_bad") >= confirm * F.col("n"))).drop("near")
+
+
+def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
+    """(site, text, h1, h2, evidence...) of each site's distinct open texts; evidence: limit, ending, or null where it is whole."""
+    known = keyed(elements)
+    texts = known.groupBy("text", "h1", "h2").agg(F.count(F.lit(1)).alias("n_sites"))
+    rows = known.filter(maybe_open(F.col("text"))).join(ending_evidence(texts, least_words), ["h1", "h2"])
+    # at most one entry a length a site's texts have
+    at = limits(rows).groupBy("site").agg(F.collect_list(F.struct("form", "length")).alias("limits"))
+    hit = F.exists("limits", lambda x: lengths(F.col("text"))[x["form"]] == x["length"])
+    rows = rows.join(at, "site", "left").withColumn("limited", F.when(F.col("limits").isNotNull(), hit & ~F.col("stock")).otherwise(False)).drop("limits")
+    return rows.withColumn("evidence", F.when(F.col("limited"), "limit").when(F.col("bad"), "ending"))
 
 
 def cut_elements(elements: DataFrame) -> DataFrame:
-    """(page_id, element_id) of the elements whose text was cut off, each once."""
-    return judged(elements).filter("cut").select("page_id", "element_id").distinct()
+    """(page_id, element_id, evidence) of the elements whose text was cut off, each once."""
+    cut = judged(elements).filter(F.col("evidence").isNotNull()).select("site", "h1", "h2", "evidence")
+    rows = elements.filter(maybe_open(F.col("text"))).select("page_id", "element_id", "site", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"))
+    return rows.join(cut, ["site", "h1", "h2"]).groupBy("page_id", "element_id").agg(F.max("evidence").alias("evidence"))
 
 
 def site_rates(elements: DataFrame) -> DataFrame:
     """(site, n_texts, n_cut, cut_share) over distinct elements."""
     all_texts = elements.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("site", "page_id", "element_id").distinct()
-    cut = cut_elements(elements).withColumn("c", F.lit(1))
+    cut = cut_elements(elements).select("page_id", "element_id", F.lit(1).alias("c"))
     rows = all_texts.join(cut, ["page_id", "element_id"], "left")
     return rows.groupBy("site").agg(F.count(F.lit(1)).alias("n_texts"), F.count("c").alias("n_cut")).withColumn("cut_share", F.col("n_cut") / F.col("n_texts"))
