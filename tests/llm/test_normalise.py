@@ -53,3 +53,23 @@ def test_inconsistent_once(spark):
     got = {(r["element_id"], r["field"], r["form"]) for r in N.inconsistent(df, ["page_id", "element_id"], ["text", "label"]).collect()}
     assert got == {("e", "text", "Forum"), ("f", "label", "a b")}
     assert N.inconsistent(df.limit(0), ["page_id", "element_id"], ["text", "label"]).count() == 0
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\u2028", "\u0085"])
+def test_line_ends_are_not_plain(spark, end):
+    df = spark.createDataFrame([("k", "abc" + end)], "id string, v string")
+    assert [r["form"] for r in N.inconsistent(df, ["id"], ["v"]).collect()] == ["abc"]
+
+
+def test_runs_of_ignorables_of_any_length():
+    """A joiner between emoji stays, however many invisible characters follow it."""
+    for n in (0, 2, 9, 5000):
+        assert N.consistent("👩\u200d" + "\u200b" * n + "💻") == "👩\u200d💻"
+
+
+@pytest.mark.parametrize("s", ["abc", "  ａｂ\u00a0\u2003c\u0301 ", "е\u200bmail", "ﬁn\u0301", "", " ", "👩\u200d💻 x"])
+def test_aligned(s):
+    form, at = N.aligned(s)
+    assert form == N.consistent(s)
+    if at is not None:
+        assert len(at) == len(form) + 1 and at == sorted(at) and at[-1] == len(s)

@@ -67,9 +67,9 @@ def test_hidden_limit_in_bytes(spark):
     df = spark.createDataFrame(corpus() + rows, S)
     judged = truncation.judged(df).filter("site = 'limit.example'")
     assert {(r["length"]) for r in truncation.limits(judged).filter("form = 'bytes'").collect()} == {120}
-    got = {r["text"]: r["evidence"] for r in judged.collect()}
-    assert got and set(got.values()) == {"limit"}
-    assert any(t.endswith("tools") or t.endswith("tool") or "single tools" in t for t in got)
+    got = judged.collect()
+    assert len(got) > 4 and {r["evidence"] for r in got} == {"limit"}
+    assert not all(r["bad"] for r in got)
 
 
 def test_short_limits_count_too(spark):
@@ -94,11 +94,9 @@ def test_one_very_long_word(spark):
     assert {r["element_id"] for r in truncation.cut_elements(df).collect()} == {"cut"}
 
 
-def test_lengths(spark):
-    from pyspark.sql import functions as F
-
-    m = spark.createDataFrame([('a&<"\'é😀\n',)], "t string").select(truncation.lengths(F.col("t")).alias("m")).first()["m"]
-    assert m == {"chars": 8, "bytes": 12, "utf16": 9, "html": 8 + 4 + 3 + 5 + 4, "html_bytes": 12 + 16, "json": 9 + 2 + 5 * 3, "crlf": 9}
+def test_lengths():
+    got = dict(zip(truncation.FORMS, truncation.lengths('a&<"\'é😀\n'), strict=True))
+    assert got == {"chars": 8, "bytes": 12, "utf16": 9, "html": 8 + 4 + 3 + 5 + 4, "html_bytes": 12 + 16, "json": 9 + 2 + 5 * 3, "crlf": 9}
 
 
 def test_rates_and_empty(spark):

@@ -47,6 +47,7 @@ KEEP_TAGS = ("<super>", "<sub>", "<fraction>")
 IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}￹-￻]")
 SPACE = regex.compile(r"[\p{Z}\t\n\r\f\v\x1c-\x1f\x85]+")
 WORD = regex.compile(r"[\p{L}\p{M}]+")
+CLUSTER = regex.compile(r"\X", regex.S)
 FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}]")
 LATIN = regex.compile(r"\p{Latin}")
 JOINING = regex.compile(
@@ -58,7 +59,7 @@ EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_
 VARIED = regex.compile(r"[\p{Emoji}]")
 HAN = regex.compile(r"\p{Han}")
 #: In the JVM: printable ASCII words with single spaces between them.
-PLAIN = r"^(?:[\x21-\x7e]+(?: [\x21-\x7e]+)*)?$"
+PLAIN = r"\A(?:[\x21-\x7e]+(?: [\x21-\x7e]+)*)?\z"
 
 
 class _Compatible(dict):
@@ -102,13 +103,16 @@ def _needed(before: str, ch: str, after: str) -> bool:
 
 
 def _without_ignorable(s: str) -> str:
+    ignorable = [IGNORABLE.match(ch) is not None for ch in s]
+    # the next character that is none, or an emoji variation, from the end: runs of any length are passed once
+    following, after = [""] * len(s), ""
+    for i in range(len(s) - 1, -1, -1):
+        following[i] = after
+        if not ignorable[i] or s[i] == "️":
+            after = s[i]
     out: list[str] = []
     for i, ch in enumerate(s):
-        if not IGNORABLE.match(ch):
-            out.append(ch)
-            continue
-        after = next((c for c in s[i + 1 : i + 9] if not IGNORABLE.match(c) or c == "️"), "")
-        if _needed(out[-1] if out else "", ch, after):
+        if not ignorable[i] or _needed(out[-1] if out else "", ch, following[i]):
             out.append(ch)
     return "".join(out)
 
@@ -166,6 +170,29 @@ def consistent(s: str | None) -> str | None:
     return _short(s) if len(s) <= 300 else _form(s)
 
 
+def aligned(s: str) -> tuple[str, list[int] | None]:
+    """The consistent form of s, and where in s each of its characters begins, with the end of s last.
+
+    The places are None where the form is s itself or no such places exist, which is rare: form[i] then has no place.
+    """
+    form = consistent(s)
+    if form == s:
+        return form, None
+    at, pieces, n = [], [], 0
+    for c in CLUSTER.findall(s):
+        if SPACE.fullmatch(c):
+            piece = "" if not pieces or pieces[-1] == " " else " "
+        else:
+            piece = unicodedata.normalize("NFC", (_without_ignorable(c) if IGNORABLE.search(c) else c).translate(_COMPATIBLE))
+        if piece:
+            pieces.append(piece)
+            at.extend([n] * len(piece))
+        n += len(c)
+    if pieces and pieces[-1] == " ":
+        at.pop()
+    return form, [*at, len(s)] if len(at) == len(form) else None
+
+
 def key(s: str | None) -> str | None:
     """The comparison key: full case folding of the consistent form."""
     return None if s is None else unicodedata.normalize("NFC", consistent(s).casefold())

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.llm.normalise import consistent
+from veilmark.session import cut
 
 _MARKS = r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})\s*"
 MARK = re.compile(_MARKS + r"\Z")
@@ -54,23 +55,29 @@ def maybe_open(text: Column) -> Column:
     return text.rlike(r"\p{L}") & (~text.rlike(r"[.!?:;。！？…][\"'”’»)\]]*\z") | text.rlike(_MARKS + r"\z"))
 
 
-def lengths(text: Column) -> Column:
-    """Map of storage form to length."""
-    count = lambda ch: F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
-    chars, size = F.length(text), F.octet_length(text)
-    ascii_only = chars == size
-    astral = F.when(ascii_only, 0).otherwise(F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", "")))
-    html = F.when(text.rlike("[&<>\"']"), 4 * count("&") + 3 * count("<") + 3 * count(">") + 5 * count('"') + 4 * count("'")).otherwise(0)
-    wide = F.when(ascii_only, 0).otherwise(F.length(F.regexp_replace(text, r"[\x00-\x7f]", "")) + astral)
-    json = F.when(text.rlike(r'["\\\n\r\t]'), count('"') + count("\\") + count("\n") + count("\r") + count("\t")).otherwise(0)
-    values = (chars, size, chars + astral, chars + html, size + html, chars + astral + json + 5 * wide, chars + count("\n"))
-    return F.create_map(*[x for name, v in zip(FORMS, values, strict=True) for x in (F.lit(name), v.cast("int"))])
+def lengths(text: str) -> list[int]:
+    """Length of a text under each of FORMS."""
+    n = len(text)
+    escaped = text.count("\n") + text.count("\r") + text.count("\t") + text.count('"') + text.count("\\")
+    html = 4 * text.count("&") + 3 * text.count("<") + 3 * text.count(">") + 5 * text.count('"') + 4 * text.count("'")
+    if text.isascii():
+        size = utf16 = json = n
+    else:
+        size = len(text.encode("utf-8", "surrogatepass"))
+        utf16 = len(text.encode("utf-16-le", "surrogatepass")) // 2
+        json = utf16 + 5 * (utf16 - sum(c < "\x80" for c in text))
+    return [n, size, utf16, n + html, size + html, json + escaped, n + text.count("\n")]
 
 
-def keyed(elements: DataFrame) -> DataFrame:
-    """(site, text, h1, h2): the distinct texts of each site that have a letter, with the text's two hashes."""
+def hashes(text: Column) -> list[Column]:
+    """128 bits that stand for a text in joins."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(7)).alias("h2")]
+
+
+def distinct_texts(elements: DataFrame) -> DataFrame:
+    """(text, n_sites): the distinct texts that have a letter, with the number of sites they stand on."""
     rows = elements.filter(F.col("text").rlike(r"\p{L}")).select("site", "text").distinct()
-    return rows.select("site", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"))
+    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
 def _words(text: str) -> tuple[list[str], list[str]]:
@@ -79,91 +86,99 @@ def _words(text: str) -> tuple[list[str], list[str]]:
     return [w.lower() for w in parts[1::2]], parts[2::2]
 
 
-def endings(texts: DataFrame) -> DataFrame:
-    """(prev, word, total, ended, final, omitted): how the words of distinct texts go on.
+def _count_endings(words: list[str], tails: list[str], seen: dict[tuple[str, str], list[int]]) -> None:
+    """Adds the words of one text to seen: (prev, word) -> total, ended, final, omitted."""
+    last, at, history, prev = len(words) - 1, 0, "^", "^"
+    for i, w in enumerate(words):
+        tail = tails[i]
+        ended = final = omitted = 0
+        if tail != " ":
+            ended = int(ENDS.match(tail) is not None)
+            final = int(i == last and not ended)
+            omitted = int(OMITTED.match(tail) is not None)
+        for key in ((prev, w), (history, w)) if 0 < at < OPENING else ((prev, w),):
+            row = seen.get(key)
+            if row is None:
+                seen[key] = [1, ended, final, omitted]
+            else:
+                row[0] += 1
+                if tail != " ":
+                    row[1] += ended
+                    row[2] += final
+                    row[3] += omitted
+        if ended:
+            prev, at, history = "^", 0, "^"
+        else:
+            prev, at = w, at + 1
+            if at < OPENING:
+                history = f"{history} {w}"
+
+
+def _open_end(t: str, least_words: int) -> dict | None:
+    """The last words of a text in consistent form; None where it is closed. `start` has all words of a short one."""
+    mark = MARK.search(t)
+    if not mark and CLOSED.search(t):
+        return None
+    body = t[: mark.start()] if mark else t
+    words, tails = _words(body)
+    n = len(words)
+    if not n or not any(c.isalpha() for c in body):
+        return None
+    stops = [i for i in range(n - 1) if tails[i] != " " and ENDS.match(tails[i])]
+    first = stops[-1] + 1 if stops else 0
+    prev = words[-2] if n - 1 > first else "^"
+    short = n < least_words or sum(w[0].isalpha() for w in words) < 3
+    return {
+        "prev": prev, "word": words[-1], "marked": mark is not None, "n_words": n, "prose": bool(stops), "history": "^ " + " ".join(words[first:-1]) if 2 <= n - first <= OPENING else None,
+        "open_tail": OPEN_TAIL.match(tails[-1]) is not None, "letter": len(words[-1]) == 1 and (prev[0].isdigit() or not body[: len(body) - len(tails[-1])][-1:].islower()), "start": " ".join(words) if short else None,
+    }
+
+
+READ = (
+    "kind string, prev string, word string, total long, ended long, final long, omitted long, h1 long, h2 long, marked boolean, n_words int, prose boolean, history string, open_tail boolean, "
+    "letter boolean, start string, lengths array<int>"
+)
+
+
+def read(texts: DataFrame, least_words: int = 4) -> DataFrame:
+    """Everything the operator has to know of distinct texts (text, n_sites), in one pass over them. Rows of three kinds:
 
-    prev is the word before, '^' at a sentence's start, and for the 2nd to 4th word of a sentence also, in rows of
-    their own, '^' and all words before it. Counts are summed within a task before they are shuffled.
+    pair: how a word goes on after the one before it. prev is '^' at a sentence's start; the 2nd to 4th word of a
+    sentence are also counted with all words before them, behind '^ '. Summed within a task, as starts are.
+    start: the first `least_words` - 1 words of texts; total: the sites they stand on, final: those where no word follows.
+    text: the last words and the lengths of an open text.
     """
+    names = [c.split()[0] for c in READ.split(", ")]
 
     def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], list[int]] = {}
+        firsts: dict[str, list[int]] = {}
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["prev", "word", "total", "ended", "final", "omitted"])
-
-        for batch in batches:
-            for text in batch["text"]:
-                words, tails = _words(consistent(text))
-                last, at, history = len(words) - 1, 0, "^"
-                prev = "^"
-                for i, w in enumerate(words):
-                    tail = tails[i]
-                    if tail == " ":
-                        ended = final = omitted = 0
-                    else:
-                        ended = int(ENDS.match(tail) is not None)
-                        final = int(i == last and not ended)
-                        omitted = int(OMITTED.match(tail) is not None)
-                    for key in ((prev, w), (history, w)) if 0 < at < OPENING else ((prev, w),):
-                        row = seen.get(key)
-                        if row is None:
-                            seen[key] = [1, ended, final, omitted]
-                        else:
-                            row[0] += 1
-                            if tail != " ":
-                                row[1] += ended
-                                row[2] += final
-                                row[3] += omitted
-                    if ended:
-                        prev, at, history = "^", 0, "^"
-                    else:
-                        prev, at = w, at + 1
-                        if at < OPENING:
-                            history = f"{history} {w}"
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
-
-    rows = texts.select("text").mapInPandas(flow, "prev string, word string, total long, ended long, final long, omitted long")
-    return rows.groupBy("prev", "word").agg(*[F.sum(c).alias(c) for c in ("total", "ended", "final", "omitted")])
-
-
-CANDIDATE = (
-    "h1 long, h2 long, n_sites long, marked boolean, n_words int, n_alpha int, prose boolean, word string, prev string, history string, open_tail boolean, letter boolean, start string"
-)
-
-
-def candidates(texts: DataFrame, least_words: int = 4) -> DataFrame:
-    """The open ones of distinct texts (text, h1, h2, n_sites), with their last words; `start` has all words of the short ones."""
-    names = [c.split()[0] for c in CANDIDATE.split(", ")]
+        def counts() -> pd.DataFrame:
+            rows = [("pair", p, w, *v) for (p, w), v in seen.items()] + [("start", None, k, n, 0, own, 0) for k, (n, own) in firsts.items() if k]
+            seen.clear()
+            firsts.clear()
+            return pd.DataFrame([(*r, *[None] * (len(names) - 7)) for r in rows], columns=names, dtype=object)
 
-    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, h1, h2, n_sites in zip(batch["text"], batch["h1"], batch["h2"], batch["n_sites"], strict=True):
+            ends = []
+            for text, n_sites, h1, h2 in zip(batch["text"], batch["n_sites"].tolist(), batch["h1"].tolist(), batch["h2"].tolist(), strict=True):
                 t = consistent(text)
-                mark = MARK.search(t)
-                if not mark and CLOSED.search(t):
-                    continue
-                body = t[: mark.start()] if mark else t
-                words, tails = _words(body)
-                n = len(words)
-                if not n or not any(c.isalpha() for c in body):
-                    continue
-                stops = [i for i in range(n - 1) if tails[i] != " " and ENDS.match(tails[i])]
-                first = stops[-1] + 1 if stops else 0
-                n_alpha = sum(w[0].isalpha() for w in words)
-                prev = words[-2] if n - 1 > first else "^"
-                letter = len(words[-1]) == 1 and (prev[0].isdigit() or not body.rstrip(tails[-1])[-1:].islower())
-                short = n < least_words or n_alpha < 3
-                history = "^ " + " ".join(words[first:-1]) if 2 <= n - first <= OPENING else None
-                rows.append((h1, h2, n_sites, mark is not None, n, n_alpha, bool(stops), words[-1], prev, history, OPEN_TAIL.match(tails[-1]) is not None, letter, " ".join(words) if short else None))
-            yield pd.DataFrame(rows, columns=names)
-
-    return texts.filter(maybe_open(F.col("text"))).select("text", "h1", "h2", "n_sites").mapInPandas(flow, CANDIDATE)
+                words, tails = _words(t)
+                _count_endings(words, tails, seen)
+                row = firsts.setdefault(" ".join(words[: least_words - 1]), [0, 0])
+                row[0] += n_sites
+                row[1] += n_sites if len(words) < least_words else 0
+                end = _open_end(t, least_words)
+                if end:
+                    ends.append({"kind": "text", "h1": h1, "h2": h2, "lengths": lengths(text), **end})
+            yield pd.DataFrame(ends, columns=names, dtype=object)
+            if len(seen) > FLUSH:
+                yield counts()
+        yield counts()
+
+    typed = lambda flow: lambda batches: (f.astype({c: "Int64" for c in ("total", "ended", "final", "omitted", "h1", "h2", "n_words")} | {c: "boolean" for c in ("marked", "prose", "open_tail", "letter")}) for f in flow(batches))
+    return texts.select("text", "n_sites", *hashes(F.col("text"))).mapInPandas(typed(flow), READ)
 
 
 def continued(entries: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
@@ -198,38 +213,23 @@ def continued(entries: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
     return small.unionByName(large.filter("longer > 0"))
 
 
-def starts(texts: DataFrame, least_words: int = 4) -> DataFrame:
-    """(word, n, own): the first words of distinct texts (text, n_sites) with the sites they stand on; own: of those texts that have no further word."""
-
-    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for text, n in zip(batch["text"], batch["n_sites"], strict=True):
-                words = [m.group().lower() for m in islice(WORD.finditer(consistent(text)), least_words)]
-                row = seen.setdefault(" ".join(words[: least_words - 1]), [0, 0])
-                row[0] += n
-                row[1] += n if len(words) < least_words else 0
-            yield pd.DataFrame([(k, *v) for k, v in seen.items() if k], columns=["word", "n", "own"])
-
-    return texts.select("text", "n_sites").mapInPandas(flow, "word string, n long, own long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-
-
-def ending_evidence(texts: DataFrame, least_words: int = 4) -> DataFrame:
-    """The open ones of distinct texts (text, h1, h2, n_sites) with `bad` (an ending that was cut) and `stock` (a mark that always stands there)."""
-    rows = candidates(texts, least_words)
-    pairs = endings(texts)
-    single = pairs.filter(~F.col("prev").startswith("^ ")).groupBy("word").agg(F.sum("total").alias("word_total"), (F.sum("ended") + F.sum("final")).alias("word_last"))
+def ending_evidence(found: DataFrame) -> DataFrame:
+    """The open texts of `read` with `bad` (an ending that was cut) and `stock` (a mark that always stands there)."""
+    rows = found.filter("kind = 'text'").select("h1", "h2", "prev", "word", "marked", "n_words", "prose", "history", "open_tail", "letter", "start", "lengths")
+    pairs = found.filter("kind = 'pair'").groupBy("prev", "word").agg(*[F.sum(c).alias(c) for c in ("total", "ended", "final", "omitted")])
+    single = found.filter("kind = 'pair' AND NOT startswith(prev, '^ ')").groupBy("word").agg(F.sum("total").alias("word_total"), (F.sum("ended") + F.sum("final")).alias("word_last"))
     longer = continued(single.select("word", F.col("word_total").alias("n")), rows.select("word"))
     words = single.join(longer, "word", "left")
-    first = starts(texts, least_words)
-    going = first.select(F.col("word").alias("start"), "own").filter("own > 0").join(continued(first.select("word", "n"), rows.filter("start IS NOT NULL").select(F.col("start").alias("word"))).withColumnsRenamed({"word": "start", "longer": "continued"}), "start", "full")
+    first = found.filter("kind = 'start'").groupBy(F.col("word").alias("start")).agg(F.sum("total").alias("n"), F.sum("final").alias("own"))
+    going = continued(first.select(F.col("start").alias("word"), "n"), rows.filter("start IS NOT NULL").select(F.col("start").alias("word")))
+    going = first.filter("own > 0").select("start", "own").join(going.withColumnsRenamed({"word": "start", "longer": "continued"}), "start", "full")
     of = lambda name: pairs.withColumnsRenamed({c: f"{name}_{c}" for c in ("total", "ended", "final", "omitted")})
     found = rows.join(of("pair"), ["prev", "word"], "left").join(words, "word", "left")
-    # texts without the key in question are spread by their own hash
-    spread = F.concat(F.lit("\n"), F.col("h1").cast("string"))
-    found = found.withColumn("hk", F.when(F.col("marked"), F.coalesce("history", spread)).otherwise(spread))
-    found = found.join(of("open").withColumnRenamed("prev", "hk").filter(F.col("hk").startswith("^ ")), ["hk", "word"], "left")
-    found = found.withColumn("sk", F.coalesce("start", spread)).join(going.withColumnRenamed("start", "sk"), "sk", "left")
+    # only marked texts ask for their last sentence, only short ones for their start; the others are passed by
+    asks = found.filter("marked AND history IS NOT NULL").select("history", "word").distinct()
+    found = found.join(asks.join(of("open").withColumnRenamed("prev", "history"), ["history", "word"]), ["history", "word"], "left")
+    # texts without a start are spread by their own hash
+    found = found.withColumn("sk", F.coalesce("start", F.concat(F.lit("\n"), F.col("h1").cast("string")))).join(going.withColumnRenamed("start", "sk"), "sk", "left")
     counts = ["pair_total", "pair_ended", "pair_final", "pair_omitted", "open_total", "open_ended", "open_final", "open_omitted", "word_total", "word_last", "longer", "own", "continued"]
     found = found.fillna(0, counts)
     # without the text itself
@@ -249,44 +249,48 @@ def ending_evidence(texts: DataFrame, least_words: int = 4) -> DataFrame:
     repeated = (F.col("own") >= 2) & (F.col("own") * 20 > F.col("continued"))
     short = ~repeated & F.when(F.col("n_words") == 1, fragment & goes).otherwise((fragment & ~F.col("letter")) | goes)
     bad = F.when(F.col("start").isNotNull(), short).when(F.col("marked"), fragment | ~stock).otherwise(F.col("open_tail") | fragment | never)
-    return found.select("h1", "h2", "marked", "prose", "n_words", "word", fragment.alias("fragment"), never.alias("never"), stock.alias("stock"), "open_tail", bad.alias("bad"))
+    return found.select("h1", "h2", "lengths", fragment.alias("fragment"), never.alias("never"), stock.alias("stock"), bad.alias("bad"))
 
 
 def limits(rows: DataFrame, least: int = 4, peak: float = 4.0, reach: int = 3, confirm: float = 0.5) -> DataFrame:
-    """(site, form, length, n, n_bad): hidden limits, from each site's distinct open texts (site, text, bad).
+    """(site, form, length, n, n_bad): hidden limits, from each site's distinct open texts (site, lengths, bad).
 
     least: texts at that length; peak: how far they exceed the average of the `reach` lengths on either side; confirm:
     the least share of them whose ending was cut.
     """
-    d = rows.select("site", "bad", F.explode(lengths(F.col("text"))).alias("form", "length"))
+    d = rows.select("site", "bad", F.posexplode("lengths").alias("form", "length"))
     d = d.groupBy("site", "form", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
     w = Window.partitionBy("site", "form").orderBy("length").rangeBetween(-reach, reach)
     d = d.withColumn("near", (F.sum("n").over(w) - F.col("n")) / (2 * reach))
-    return d.filter((F.col("n") >= least) & (F.col("n") >= peak * (F.col("near") + 0.25)) & (F.col("n_bad") >= confirm * F.col("n"))).drop("near")
+    d = d.filter((F.col("n") >= least) & (F.col("n") >= peak * (F.col("near") + 0.25)) & (F.col("n_bad") >= confirm * F.col("n"))).drop("near")
+    return d.withColumn("form", F.get(F.array(*[F.lit(f) for f in FORMS]), F.col("form")))
 
 
 def judged(elements: DataFrame, least_words: int = 4) -> DataFrame:
-    """(site, text, h1, h2, evidence...) of each site's distinct open texts; evidence: limit, ending, or null where it is whole."""
-    known = keyed(elements)
-    texts = known.groupBy("text", "h1", "h2").agg(F.count(F.lit(1)).alias("n_sites"))
-    rows = known.filter(maybe_open(F.col("text"))).join(ending_evidence(texts, least_words), ["h1", "h2"])
+    """(site, h1, h2, lengths, evidence...) of each site's distinct open texts; evidence: limit, ending, or null where it is whole.
+
+    What was read of the texts, and what their endings say, is written to the checkpoint folder: both are used twice.
+    """
+    found = ending_evidence(cut(read(distinct_texts(elements), least_words)))
+    known = elements.filter(maybe_open(F.col("text"))).select("site", *hashes(F.col("text"))).distinct()
+    rows = cut(known.join(found, ["h1", "h2"]))
     # at most one entry a length a site's texts have
     at = limits(rows).groupBy("site").agg(F.collect_list(F.struct("form", "length")).alias("limits"))
-    hit = F.exists("limits", lambda x: lengths(F.col("text"))[x["form"]] == x["length"])
-    rows = rows.join(at, "site", "left").withColumn("limited", F.when(F.col("limits").isNotNull(), hit & ~F.col("stock")).otherwise(False)).drop("limits")
+    of = F.map_from_arrays(F.array(*[F.lit(f) for f in FORMS]), F.col("lengths"))
+    rows = rows.join(at, "site", "left").withColumn("limited", F.coalesce(F.exists("limits", lambda x: of[x["form"]] == x["length"]), F.lit(False)) & ~F.col("stock")).drop("limits")
     return rows.withColumn("evidence", F.when(F.col("limited"), "limit").when(F.col("bad"), "ending"))
 
 
 def cut_elements(elements: DataFrame) -> DataFrame:
     """(page_id, element_id, evidence) of the elements whose text was cut off, each once."""
-    cut = judged(elements).filter(F.col("evidence").isNotNull()).select("site", "h1", "h2", "evidence")
-    rows = elements.filter(maybe_open(F.col("text"))).select("page_id", "element_id", "site", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"))
-    return rows.join(cut, ["site", "h1", "h2"]).groupBy("page_id", "element_id").agg(F.max("evidence").alias("evidence"))
+    found = judged(elements).filter(F.col("evidence").isNotNull()).select("site", "h1", "h2", "evidence")
+    rows = elements.filter(maybe_open(F.col("text"))).select("page_id", "element_id", "site", *hashes(F.col("text")))
+    return rows.join(found, ["site", "h1", "h2"]).groupBy("page_id", "element_id").agg(F.max("evidence").alias("evidence"))
 
 
 def site_rates(elements: DataFrame) -> DataFrame:
     """(site, n_texts, n_cut, cut_share) over distinct elements."""
     all_texts = elements.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("site", "page_id", "element_id").distinct()
-    cut = cut_elements(elements).select("page_id", "element_id", F.lit(1).alias("c"))
-    rows = all_texts.join(cut, ["page_id", "element_id"], "left")
+    found = cut_elements(elements).select("page_id", "element_id", F.lit(1).alias("c"))
+    rows = all_texts.join(found, ["page_id", "element_id"], "left")
     return rows.groupBy("site").agg(F.count(F.lit(1)).alias("n_texts"), F.count("c").alias("n_cut")).withColumn("cut_share", F.col("n_cut") / F.col("n_texts"))
