@@ -58,6 +58,8 @@ _WORD = r"\p{Lu}[\p{L}’']+(?:-\p{Lu}[\p{L}’']+)*"
 _PARTICLE = r"(?:(?:van|von|de|del|della|di|da|dos|la|le|el|al|bin|ter|ten|zu|VAN|VON|DE)\s){0,2}"
 #: A title is evidence enough; initials may stand between.
 TITLED = rf"(?<!\p{{L}}){HONORIFIC}\.?\s(?:\p{{Lu}}\.\s?){{0,3}}(?:{_WORD}\s(?:\p{{Lu}}\.\s)?){{0,1}}{_PARTICLE}{_WORD}"
-#: Given name first (group 1) or last (group 1 of the other); whether it is one is asked of the corpus.
-DIRECT = rf"(?<![\p{{L}}.@\-])(?=({_WORD})\s(?:\p{{Lu}}\.\s?){{0,2}}{_PARTICLE}({_WORD}))"
-INVERTED = rf"(?<![\p{{L}}.@\-])(?=({_WORD}),\s({_WORD}))"
+#: Given name first (group 2) or last (group 3), the whole in group 1; matches overlap, so that every word is asked.
+DIRECT = rf"(?<![\p{{L}}.@\-])(?=(({_WORD})\s(?:\p{{Lu}}\.\s?){{0,2}}{_PARTICLE}({_WORD})))"
+INVERTED = rf"(?<![\p{{L}}.@\-])(?=(({_WORD}),\s({_WORD})))"
+#: Street words that stand before the name of the street.
+STREET_FIRST = r"rue|avenue|boulevard|impasse|place|allée|chemin|quai|cours|route|square|passage|calle|avenida|avda\.|paseo|plaza|camino|carrera|ronda|travesía|carretera|am|an|im|in|auf|zum|zur|obere|untere|alte|neue|lange|kurze|große|kleine"
