@@ -27,6 +27,11 @@ DOCS = {
     "Loading... " * 40: "junk",
     "folio reader folio desk reader " * 30: "junk",
     "replaced loose first useful different effort third collected furrow small memory little renamed": "junk",
+    "Czytelnik zapytał, czy można zamknąć tę księgę przed południem. Nikt nie wiedział, dlaczego biuro było już puste, więc wszyscy poszli do domu.": "prose",
+    "Читатель спросил, можно ли закрыть эту книгу до полудня. Никто не знал, почему стол был уже пуст, и все пошли домой.": "prose",
+    "Il lettore ha chiesto se il libro si può chiudere prima di mezzogiorno. Nessuno sapeva perché la scrivania era già vuota, e tutti sono andati a casa.": "prose",
+    "\n".join(["9j4AAQSkZJRgABAQEASABIAAD2wBDAAMCAgMCAgMDAwMEAwMEBQgFBQQEBQoHBwYI"] * 6 + ["DAoMDAsKCwsNDhIQDQ4RDgsLEBYQERMU"]): "dump",
+    "\n".join(f"{' ' * 2 * (i % 2 + 1)}branch node with a few more words of text {'x' * (i % 5)}" for i in range(24)): "dump",
 }
 
 
@@ -83,3 +88,22 @@ def test_nulls_extra_columns_and_long_texts(spark):
     assert got[2]["n_words"] == 0 and got[2]["n_lines"] == 0
     assert got[3]["kind"] == "prose" and got[3]["n_words"] == 112_000
     assert Q.classified(df.limit(0)).count() == 0
+
+
+def test_common_words_are_learned(spark):
+    rows = [(i, f"the folio of desk {i} is the one of the reader", "en") for i in range(40)] + [(i, f"der Band {i} und der Leser und", "de") for i in range(40)] + [(99, "once upon", "xx"), (98, None, "en"), (97, "no language", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = Q.common_words(df, most=3, least_share=0.05)
+    # ties are broken by the alphabet; a language of one document in 80 is none
+    assert words == ["band", "der", "desk", "folio", "is", "leser"]
+    got = {r["doc_id"]: r["common_ratio"] for r in Q.statistics(df, common=["der", "und"]).filter("lang = 'de'").collect()}
+    assert all(0.4 < v < 0.9 for v in got.values())
+    assert Q.common_words(df.limit(0)) == []
+
+
+def test_each_layout_measure_decides():
+    """Documents that only the layout shows: letters, symbols and words are those of prose."""
+    lines = {k: v for v, k in (("bullet_ratio", "\n".join(f"- the reader of the folio can be asked whether desk is closed {'x' * i}" for i in range(8))), ("field_alignment", "\n".join(f"reader: folio of the desk and the binding: closed before noon {'y' * i}" for i in range(8))))}
+    for text, measure in lines.items():
+        d = Q.describe([text])
+        assert d[measure][0] >= 0.6 and d["letter_ratio"][0] > 0.6 and d["symbol_ratio"][0] < 0.05 and d["n_words"][0] > 3.5 * d["n_lines"][0]

@@ -1,45 +1,50 @@
 """Per-document text statistics, and natural prose told from lists, tables, dumps and junk.
 
 One row a document, without a shuffle: word, character and punctuation ratios over the whole text, and the layout of
-its lines. Layout has three measures: delimiter alignment (share of lines with the same number of the same delimiter),
-indentation periodicity and line-length autocorrelation (the highest correlation of the sequence with itself at a lag
-of up to `MAX_LAG` lines; a constant sequence counts as 1).
+its lines. Layout comes first, where a document has three lines or more and no sentences:
+
+alignment: the largest share of lines with the same number of the same delimiter (bars, tabs, commas, semicolons, wide
+gaps); field_alignment: the same of colons and equal signs; bullet_ratio: the share of lines that open with a list mark;
+indent_period and length_period: the highest correlation of the lines' indentation, and of their lengths, with
+themselves at a lag of up to `MAX_LAG` lines (a constant sequence counts as 1; for lengths at least the share of lines
+that have the same one, of 24 characters or more).
+
+What has no lines to be laid out, or none that say anything, is judged by its ratios: letters, symbols, one token that
+is most of the text, words a line, short words and repeated words. No word list decides, so prose is prose in any
+language with spaces. The share of common words is a statistic only; which words are common is learned from the
+documents, language by language (`common_words`).
 
 The texts of an Arrow batch are laid end to end as one array of code points and every statistic is computed by array
 operations over it: no loop over documents, lines or characters, and about a fifth of the CPU time of the same
 statistics as regular expressions in the JVM.
 
 Defined cases: a null text has null statistics and is no kind; an empty or blank text has zeros; a ratio without a
-denominator is 0; texts are taken whole, whatever their length (a batch is cut into pieces of whole texts); documents
-are judged by themselves, so copies get the same result; extra columns are kept and ones named like a statistic are
-replaced.
+denominator is 0; without common words given, their share is 0; texts are taken whole, whatever their length (a batch
+is cut into pieces of whole texts); documents are judged by themselves, so copies get the same result; extra columns
+are kept and ones named like a statistic are replaced.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The most common words of the corpus languages (en, de, fr, es).
-COMMON = (
-    "the of and to in a is was for it with as on be at by this had not are but from have an they she he we you all would there their has been who will no if so its than them can that when which "
-    "der die das und den von zu mit sich des auf im dem nicht ein eine auch es er sie ist wird wurde dass hat bei am noch wie oder nach einer einem "
-    "le la les de du un une et que qui dans en au aux pour pas sur par avec il elle on ce cette est sont son sa ses se ne plus "
-    "el los las del y al lo con por para su una como más o sin ha fue"
-).split()
 MAX_LAG = 4
 PIECE = 1 << 22
+LETTERS = re.compile(r"[^\W\d_]+")
 
 STATISTICS = {
-    "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "end_punct_ratio": "double", "common_ratio": "double", "letter_ratio": "double", "short_ratio": "double", "richness": "double",
-    "sentence_ratio": "double", "n_lines": "int", "bullet_ratio": "double", "prose_share": "double", "alignment": "double", "indent_period": "double", "length_period": "double", "longest_token": "int",
+    "n_chars": "long", "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "end_punct_ratio": "double", "common_ratio": "double", "letter_ratio": "double", "short_ratio": "double", "richness": "double",
+    "sentence_ratio": "double", "n_lines": "int", "bullet_ratio": "double", "prose_share": "double", "alignment": "double", "field_alignment": "double", "indent_period": "double", "length_period": "double", "longest_token": "int",
 }
 
 _LETTER, _DIGIT, _SPACE, _PLAIN, _OTHER = range(5)
@@ -65,11 +70,11 @@ def _powers(n: int) -> np.ndarray:
         return np.cumprod(np.full(n, 0x100000001B3, np.uint64), dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
-def _common_hashes() -> np.ndarray:
+@lru_cache(maxsize=4)
+def _common_hashes(words: tuple[str, ...]) -> np.ndarray:
     out = []
     with np.errstate(over="ignore"):
-        for w in COMMON:
+        for w in words:
             cp = np.array([ord(c) for c in w], np.uint64)
             out.append((cp * _powers(len(cp))).sum(dtype=np.uint64))
     return np.array(sorted(out), np.uint64)
@@ -139,8 +144,8 @@ def _alignment(counts: np.ndarray, least: int, doc: np.ndarray, n_lines: np.ndar
     return np.where(worth & (middle >= least), _share(same, n_lines), 0.0)
 
 
-def describe(texts: list[str]) -> dict[str, np.ndarray]:
-    """The statistics of texts, none of them null."""
+def describe(texts: list[str], common_words: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+    """The statistics of texts, none of them null. common_words: in lower case."""
     n = len(texts)
     kinds, lower = _tables()
     size = np.array([len(t) for t in texts], np.int64)
@@ -163,6 +168,7 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     w0, _ = _runs(letter | inner)
     words = _between(_flags(w0, len(raw)), start, end)
     letters = _between(letter, start, end)
+    out["n_chars"] = size
     out["n_words"] = words.astype(np.int64)
     out["mean_word_length"] = _share(letters, words)
     out["letter_ratio"] = _share(letters, size)
@@ -180,7 +186,7 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
         low = np.where(astral[inside], raw[inside], lower[a[inside]]).astype(np.uint64)
         with np.errstate(over="ignore"):
             code = np.add.reduceat(low * power[place], np.concatenate([[0], np.cumsum(length)[:-1]]))
-        common = np.isin(code, _common_hashes())
+        common = np.isin(code, _common_hashes(common_words))
         mixed = code ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         _, unique = np.unique(mixed, return_index=True)
         distinct = np.bincount(owner[unique], minlength=n).astype(float)
@@ -212,7 +218,7 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     n_lines = np.bincount(doc, minlength=n).astype(float)
     out["n_lines"] = n_lines.astype(np.int32)
     if not len(begins):
-        return out | {k: np.zeros(n) for k in ("end_punct_ratio", "bullet_ratio", "prose_share", "alignment", "indent_period", "length_period")}
+        return out | {k: np.zeros(n) for k in ("end_punct_ratio", "bullet_ratio", "prose_share", "alignment", "field_alignment", "indent_period", "length_period")}
     first = t0[np.searchsorted(t0, begins)]
     last = t1[np.searchsorted(t1, stops, side="right") - 1] - 1
     at = lambda k: raw[np.minimum(first + k, len(raw) - 1)]
@@ -238,6 +244,10 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
         "semicolon": (_between((raw == ord(";")) & ~after(blanks), begins, stops), 2),
         "gap": (_between(leader | wide, begins, stops), 1),
     }
+    per_field = {
+        "colon": (_between(raw == ord(":"), begins, stops), 2),
+        "equals": (_between((raw == ord("=")) & ~before(raw == ord("=")) & ~after(raw == ord("=")), begins, stops), 1),
+    }
     cells = (per_line["pipe"][0] + per_line["tab"][0] + per_line["gap"][0]) > 0
     # running text: no short bullet, no table row, and either long or closed
     running = ~cells & np.where(bullet, tokens >= 25, (tokens >= 8) | (ends & (tokens >= 3)))
@@ -246,8 +256,10 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     out["bullet_ratio"] = _share(np.bincount(doc, bullet, n), n_lines)
     out["prose_share"] = _share(np.bincount(doc, long * running, n), np.bincount(doc, long, n))
     out["alignment"] = np.max([_alignment(c, least, doc, n_lines) for c, least in per_line.values()], axis=0)
+    out["field_alignment"] = np.max([_alignment(c, least, doc, n_lines) for c, least in per_field.values()], axis=0)
     out["indent_period"] = _period((first - begins).astype(float), doc, n_lines)
-    out["length_period"] = _period(long, doc, n_lines)
+    # wrapped at one width, all but the last line have the same length
+    out["length_period"] = np.maximum(_period(long, doc, n_lines), _alignment(stops - begins, 24, doc, n_lines))
     return out
 
 
@@ -268,43 +280,84 @@ def _pieces(values: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(values)
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.LongType() if t == "long" else T.IntegerType() if t == "int" else T.DoubleType()) for k, t in STATISTICS.items()]))
-def _describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        known = batch.notna().to_numpy()
-        texts = batch[known].tolist()
-        parts = [describe(texts[i:j]) for i, j in _pieces(texts)]
-        frame = pd.DataFrame({k: np.concatenate([p[k] for p in parts]) if parts else np.array([], float) for k in STATISTICS})
-        if not known.all():
-            frame.index = np.flatnonzero(known)
-            frame = frame.reindex(range(len(batch)))
-            frame = frame.astype({k: "Int64" for k, t in STATISTICS.items() if t != "double"})
-        yield frame
-
-
-def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with the columns of STATISTICS."""
+def _describe(words: tuple[str, ...]):
+    @F.pandas_udf(T.StructType([T.StructField(k, T.LongType() if t == "long" else T.IntegerType() if t == "int" else T.DoubleType()) for k, t in STATISTICS.items()]))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known = batch.notna().to_numpy()
+            texts = batch[known].tolist()
+            parts = [describe(texts[i:j], words) for i, j in _pieces(texts)]
+            frame = pd.DataFrame({k: np.concatenate([p[k] for p in parts]) if parts else np.array([], float) for k in STATISTICS})
+            if not known.all():
+                frame.index = np.flatnonzero(known)
+                frame = frame.reindex(range(len(batch)))
+                frame = frame.astype({k: "Int64" for k, t in STATISTICS.items() if t != "double"})
+            yield frame
+
+    return of
+
+
+def common_words(documents: DataFrame, text: str = "text", lang: str = "lang", most: int = 60, least_share: float = 0.01) -> list[str]:
+    """The `most` words met in the most documents of each language that has at least `least_share` of all documents.
+
+    Counted over all documents, by task before the shuffle; the result is bounded by most / least_share words.
+    """
+    schema = "lang string, word string, n long"
+
+    def flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+
+        def out() -> pd.DataFrame:
+            rows = pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["lang", "word", "n"])
+            seen.clear()
+            return rows
+
+        for batch in batches:
+            for k, t in zip(batch["lang"], batch["text"], strict=True):
+                seen.update((k, w) for w in {x.lower() for x in LETTERS.findall(t)})
+                seen[k, ""] += 1
+                if len(seen) > 200_000:
+                    yield out()
+        yield out()
+
+    rows = documents.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = rows.mapInPandas(flow, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sizes = counts.filter("word = ''").select("lang", F.col("n").alias("size"))
+    large = sizes.filter(F.col("size") >= least_share * sizes.agg(F.sum("size")).scalar()).select("lang")
+    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    top = counts.filter("word <> ''").join(large, "lang", "left_semi").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return sorted({r["word"] for r in top.select("word").distinct().collect()})
+
+
+def statistics(documents: DataFrame, text: str = "text", common: Sequence[str] = ()) -> DataFrame:
+    """documents with the columns of STATISTICS. common: the words whose share is told, in lower case."""
     kept = [c for c in documents.columns if c not in STATISTICS]
-    rows = documents.select(*[F.col(f"`{c}`") for c in kept], _describe(F.col(f"`{text}`")).alias("__s"))
+    rows = documents.select(*[F.col(f"`{c}`") for c in kept], _describe(tuple(common))(F.col(f"`{text}`")).alias("__s"))
     known = F.col(f"`{text}`").isNotNull() if text in kept else F.lit(True)
     return rows.select(*[F.col(f"`{c}`") for c in kept], *[F.when(known, F.col(f"__s.{k}")).alias(k) for k in STATISTICS])
 
 
-def kind() -> Column:
-    """prose, table, list, dump or junk, from the statistics; null where the text is null."""
+def kind(aligned: float = 0.6, listed: float = 0.4, periodic: float = 0.5) -> Column:
+    """prose, table, list, dump or junk, from the statistics; null where the text is null.
+
+    aligned, listed, periodic: from where on alignment, list marks and the two autocorrelations decide.
+    """
     c = F.col
-    flat = (c("length_period") > 0.5) | (c("indent_period") > 0.5)
+    laid_out = (c("n_lines") >= 3) & (c("sentence_ratio") < 0.02)
+    # constant indentation says nothing: most texts have none
+    indented = (c("indent_period") > periodic) & (c("indent_period") < 0.999)
     return (
         F.when(c("n_words").isNull(), None)
-        .when((c("alignment") >= 0.6) & (c("n_lines") >= 3) & (c("prose_share") < 0.5), "table")
-        .when((c("letter_ratio") < 0.5) & (c("n_lines") >= 3) & (flat | (c("prose_share") < 0.3)), "dump")
-        .when((c("letter_ratio") < 0.6) | ((c("longest_token") >= 40) & (c("common_ratio") < 0.2)), "dump")
+        .when(laid_out & (c("alignment") >= aligned), "table")
+        .when(laid_out & (c("bullet_ratio") >= listed), "list")
+        .when(laid_out & ((c("field_alignment") >= aligned) | indented | (c("length_period") > periodic)), "dump")
+        .when((~laid_out & (c("letter_ratio") < 0.6)) | (c("letter_ratio") < 0.2) | ((c("longest_token") >= 40) & (c("longest_token") >= 0.2 * c("n_chars"))), "dump")
         .when(c("symbol_ratio") > 0.05, "junk")
-        .when((c("prose_share") < 0.3) & (c("sentence_ratio") < 0.02) & (c("n_lines") >= 3), "list")
-        .when(((c("richness") < 2.0) & (c("sentence_ratio") < 0.02)) | (c("short_ratio") < 0.15) | (c("common_ratio") < 0.18), "junk")
+        .when(laid_out & (c("n_words") < 3.5 * c("n_lines")) & (c("letter_ratio") >= 0.6), "list")
+        .when(((c("richness") < 2.0) & (c("sentence_ratio") < 0.02)) | (c("short_ratio") < 0.15), "junk")
         .otherwise("prose")
     )
 
 
-def classified(documents: DataFrame, text: str = "text") -> DataFrame:
-    return statistics(documents, text).withColumn("kind", kind())
+def classified(documents: DataFrame, text: str = "text", common: Sequence[str] = ()) -> DataFrame:
+    return statistics(documents, text, common).withColumn("kind", kind())

@@ -107,7 +107,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.classified(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return quality.classified(docs.select("doc_id", "text"), common=quality.common_words(docs)).drop("text")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_daily": p4_daily, "p4_percentiles": p4_percentiles, "p4_combined": p4_combined, "p4_within_bound": p4_within_bound, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_site_rates": p7_site_rates, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
