@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ERROR = 0.002
+#: Readings a task holds before all of its groups are summarised, and groups (by measure) before they are handed on.
+WAITING, GROUPS = 1 << 22, 4096
 BUFFER = 1 << 16
 
 
@@ -145,6 +147,20 @@ def summaries(df: DataFrame, groups: Sequence[str], measures: Sequence[str], err
 
         bucket = TaskContext.get().partitionId() % buckets
         held: dict = {}
+        waiting = 0
+
+        def rows() -> Iterator[pd.DataFrame]:
+            out = []
+            for (key, m), (gatherer, invalid) in held.items():
+                gatherer.flush()
+                out.append(_row(key, names, bucket, m, gatherer.end() if gatherer.digits else EMPTY, invalid))
+                if len(out) >= 256:
+                    yield pd.DataFrame(out)
+                    out = []
+            if out:
+                yield pd.DataFrame(out)
+            held.clear()
+
         for batch in batches:
             for key, g in batch.groupby(names, dropna=False, sort=False):
                 key = tuple(None if pd.isna(k) else k for k in key)
@@ -155,15 +171,16 @@ def summaries(df: DataFrame, groups: Sequence[str], measures: Sequence[str], err
                     entry[1] += len(x) - len(ok)
                     if len(ok):
                         entry[0].add(ok)
-        rows = []
-        for (key, m), (gatherer, invalid) in held.items():
-            gatherer.flush()
-            rows.append(_row(key, names, bucket, m, gatherer.end() if gatherer.digits else EMPTY, invalid))
-            if len(rows) >= 256:
-                yield pd.DataFrame(rows)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows)
+                        waiting += len(ok)
+            # a task holds a bounded number of readings and of groups, however many there are
+            if waiting > WAITING:
+                for gatherer, _ in held.values():
+                    gatherer.flush()
+                waiting = 0
+            if len(held) > GROUPS:
+                yield from rows()
+                waiting = 0
+        yield from rows()
 
     level = src.mapInPandas(build, schema)
     return _combine(_combine(level, names, fields, middle, True), names, fields, 0.0, False).drop("bucket")
