@@ -28,8 +28,7 @@ def check(ids, sizes, capacity, out):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 250), max_size=60), st.integers(1, 100))
 def test_every_item_is_packed(sizes, capacity):
-    ids = np.arange(len(sizes), dtype=float)
-    check(ids, sizes, capacity, packing.pack(ids, np.array(sizes, np.int64), capacity))
+    check(np.arange(len(sizes)), sizes, capacity, packing.pack(np.array(sizes, np.int64), capacity))
 
 
 def optimum(sizes, capacity):
@@ -43,7 +42,7 @@ def optimum(sizes, capacity):
 @pytest.mark.parametrize("seed", range(8))
 def test_near_the_optimum(seed):
     sizes = np.random.default_rng(seed).integers(1, 60, 7)
-    n = check(np.arange(7.0), sizes.tolist(), 60, packing.pack(np.arange(7.0), sizes, 60))
+    n = check(np.arange(7.0), sizes.tolist(), 60, packing.pack(sizes, 60))
     assert n <= optimum(sizes.tolist(), 60) + 1
 
 
@@ -51,23 +50,42 @@ def test_local_search_empties_a_bin():
     sizes = np.array([6, 5, 4, 3, 2], np.int64)
     bins = packing._Bins(10)
     bins.items, bins.fill = [[0, 3], [1, 2], [4]], [9, 9, 2]
-    packing._improve(bins, sizes, 2, 1000)
+    packing._improve(bins, sizes.tolist(), 2)
     assert sorted(f for f in bins.fill if f) == [10, 10] and sorted(sum(bins.items, [])) == [0, 1, 2, 3, 4]
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=2, max_size=12), st.integers(30, 60))
 def test_steps_raise_the_squares(sizes, capacity):
-    a = np.array(sizes, np.int64)
     half = len(sizes) // 2
-    items = [list(range(half)), list(range(half, len(sizes)))]
-    fill = [int(a[x].sum()) for x in items]
-    if max(fill) > capacity:
+    bins = packing._Bins(capacity)
+    bins.items = [list(range(half)), list(range(half, len(sizes)))]
+    bins.fill = [sum(sizes[k] for k in x) for x in bins.items]
+    if max(bins.fill) > capacity:
         return
-    b, d = (0, 1) if fill[0] >= fill[1] else (1, 0)
-    before = sum(f * f for f in fill)
-    if items[d] and packing._step(items, fill, a, b, d, capacity):
-        assert sum(f * f for f in fill) > before and fill == [int(a[x].sum()) for x in items] and max(fill) <= capacity
+    donor = 0 if bins.fill[0] < bins.fill[1] else 1
+    before = sum(f * f for f in bins.fill)
+    search = packing._Search(bins, sizes)
+    step = search.best(donor)
+    # the best step by trying all of them
+    b, free = 1 - donor, capacity - bins.fill[1 - donor]
+    give, take = [sizes[k] for k in bins.items[donor]], [sizes[k] for k in bins.items[b]]
+    given = give + [x + y for i, x in enumerate(give) for y in give[i + 1 :]]
+    gains = [d for d in [*give, *(g - t for g in given for t in take)] if 0 < d <= free] if free and 0 < bins.fill[donor] else []
+    assert (step[0] if step else 0) == max(gains, default=0)
+    if step:
+        search.apply(donor, step)
+        assert sum(f * f for f in bins.fill) > before and max(bins.fill) <= capacity
+        assert bins.fill == [sum(sizes[k] for k in x) for x in bins.items] and sorted(sum(bins.items, [])) == list(range(len(sizes)))
+
+
+def test_large_containers_are_searched_too():
+    """More than 64 items a container: exchanges still close the last gaps."""
+    r = np.random.default_rng(3)
+    sizes = np.concatenate([r.integers(20, 60, 900), r.integers(400, 900, 60)])
+    out = packing.pack(sizes, 8192)
+    n = check(np.arange(len(sizes)), sizes.tolist(), 8192, out)
+    assert n == -(-int(sizes.sum()) // 8192)
 
 
 def test_containers(spark):

@@ -3,7 +3,7 @@
 Items are spread over shards by a hash of their id. A shard is packed by best fit in order of falling size and then
 improved by local search: between underfull containers an item is moved, or exchanged one for one or two for one,
 whenever that raises the sum of squared fills; a container that runs empty is gone. The search ends at the lower bound
-(total size over capacity, rounded up) or when no step helps. Shards have about `shard_items` items whatever the size
+(total size over capacity, rounded up) or when no step helps, whatever the number of items in a container. Shards have about `shard_items` items whatever the size
 of the input, so a task's work is bounded, and the space a shard can lose by being packed alone is at most one
 container in thousands. Only ids and sizes are shuffled; texts never leave their partition.
 
@@ -60,66 +60,117 @@ class _Bins:
             heapq.heappush(self.at[left], b)
 
 
-def _improve(bins: _Bins, sizes: np.ndarray, lower: int, max_trials: int) -> None:
-    """Local search between underfull containers; `max_trials` pairs at most are tried."""
-    capacity, items, fill = bins.capacity, bins.items, bins.fill
-    trials, changed = 0, True
+#: Free space up to which exchanges are looked up by the size of the item that would come back.
+NARROW = 64
+
+
+class _Search:
+    """Local search between underfull containers, by indexes that are kept up to date.
+
+    A step moves an item of the donor to a container that is at least as full, or exchanges it, or two of them, for a
+    smaller one of that container; every step raises the sum of squared fills. Receivers are found by their free space
+    (moves), by the sizes of their items (exchanges into little free space) and one by one (into much, which few have),
+    so no pair of containers is tried without cause and no container is left out.
+    """
+
+    def __init__(self, bins: _Bins, sizes: list[int]):
+        self.capacity, self.items, self.fill, self.sizes = bins.capacity, bins.items, bins.fill, sizes
+        self.by_size: dict[int, set[int]] = {}
+        self.by_free: list[tuple[int, int]] = []
+        for b in range(len(self.items)):
+            self._list(b)
+
+    def _list(self, b: int) -> None:
+        if 0 < self.fill[b] < self.capacity:
+            insort(self.by_free, (self.capacity - self.fill[b], b))
+            for k in self.items[b]:
+                self.by_size.setdefault(self.sizes[k], set()).add(b)
+
+    def _unlist(self, b: int) -> None:
+        if 0 < self.fill[b] < self.capacity:
+            self.by_free.pop(bisect_left(self.by_free, (self.capacity - self.fill[b], b)))
+            for size in {self.sizes[k] for k in self.items[b]}:
+                holders = self.by_size[size]
+                holders.discard(b)
+                if not holders:
+                    del self.by_size[size]
+
+    def best(self, donor: int) -> tuple[int, int, list[int], list[int]] | None:
+        """(gain, receiver, items given, items taken) of the step that fills a receiver most; the first of equal ones."""
+        fill, capacity, sizes = self.fill, self.capacity, self.sizes
+        give = {}
+        for k in self.items[donor]:
+            give.setdefault(sizes[k], [k])
+        found: tuple | None = None
+        gain = 0
+        for size in sorted(give, reverse=True):
+            for free, b in self.by_free[bisect_left(self.by_free, (size, -1)) :]:
+                if b != donor and fill[b] >= fill[donor]:
+                    found, gain = (size, b, give[size], []), size
+                    break
+            if found:
+                break
+        one = self.items[donor]
+        given = {s: k for s, k in give.items()}
+        for i, x in enumerate(one):
+            for y in one[i + 1 :]:
+                given.setdefault(sizes[x] + sizes[y], [x, y])
+        most = self.by_free[-1][0] if self.by_free else 0
+        wide = [(free, b) for free, b in self.by_free[bisect_left(self.by_free, (NARROW + 1, -1)) :] if b != donor and fill[b] >= fill[donor]]
+        for total in sorted(given, reverse=True):
+            if most <= gain:
+                break
+            for free, b in reversed(wide):
+                if free <= gain:
+                    break
+                for k in self.items[b]:
+                    d = total - sizes[k]
+                    if gain < d <= free:
+                        found, gain = (d, b, given[total], [k]), d
+            for d in range(min(NARROW, most, total - 1), gain, -1):
+                holders = self.by_size.get(total - d)
+                b = min((b for b in holders if capacity - fill[b] >= d and b != donor and fill[b] >= fill[donor]), default=None) if holders else None
+                if b is not None:
+                    found, gain = (d, b, given[total], [next(k for k in self.items[b] if sizes[k] == total - d)]), d
+                    break
+        return found
+
+    def apply(self, donor: int, step: tuple[int, int, list[int], list[int]]) -> None:
+        gain, b, give, take = step
+        self._unlist(donor)
+        self._unlist(b)
+        for k in give:
+            self.items[donor].remove(k)
+            self.items[b].append(k)
+        for k in take:
+            self.items[b].remove(k)
+            self.items[donor].append(k)
+        self.fill[b] += gain
+        self.fill[donor] -= gain
+        self._list(donor)
+        self._list(b)
+
+
+def _improve(bins: _Bins, sizes: list[int], lower: int) -> None:
+    """Local search until no step helps, or the number of containers is the lower bound."""
+    search = _Search(bins, sizes)
+    fill = bins.fill
     used = sum(1 for f in fill if f)
+    changed = True
     while changed:
         # an exchange between two full containers may open room for the emptiest one: passes repeat until none helps
         changed = False
-        for donor in sorted((b for b in range(len(fill)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b)):
+        for donor in sorted((b for b in range(len(fill)) if 0 < fill[b] < bins.capacity), key=lambda b: (fill[b], b)):
             if used <= lower:
                 return
-            for b in sorted((b for b in range(len(fill)) if fill[donor] <= fill[b] < capacity and b != donor), key=lambda b: (-fill[b], b)):
-                trials += 1
-                if trials >= max_trials:
-                    return
-                while items[donor] and fill[donor] <= fill[b] < capacity and _step(items, fill, sizes, b, donor, capacity):
-                    changed = True
-                if not items[donor]:
-                    used -= 1
-                    break
+            while 0 < fill[donor] < bins.capacity and (step := search.best(donor)):
+                search.apply(donor, step)
+                changed = True
+            used -= not fill[donor]
 
 
-def _step(items: list, fill: list, sizes: np.ndarray, b: int, donor: int, capacity: int) -> bool:
-    """The one step from donor to the fuller b that fills b most; every such step raises the sum of squares."""
-    free = capacity - fill[b]
-    give, take = items[donor], items[b]
-    g, t = sizes[give], sizes[take]
-    best, what = 0, None
-    fits = g[g <= free]
-    if len(fits):
-        best = int(fits.max())
-        what = ([give[int(np.flatnonzero(g == best)[0])]], [])
-    if best < free and len(t) <= 64 and len(g) <= 64:
-        d = g[None, :] - t[:, None]
-        d = np.where(d <= free, d, 0)
-        i, j = np.unravel_index(int(d.argmax()), d.shape)
-        if d[i, j] > best:
-            best, what = int(d[i, j]), ([give[j]], [take[i]])
-        if best < free and 2 <= len(g) <= 24:
-            p, q = np.triu_indices(len(g), 1)
-            d = (g[p] + g[q])[None, :] - t[:, None]
-            d = np.where(d <= free, d, 0)
-            i, j = np.unravel_index(int(d.argmax()), d.shape)
-            if d[i, j] > best:
-                best, what = int(d[i, j]), ([give[p[j]], give[q[j]]], [take[i]])
-    if what is None:
-        return False
-    for x in what[0]:
-        give.remove(x)
-        take.append(x)
-    for x in what[1]:
-        take.remove(x)
-        give.append(x)
-    fill[b] += best
-    fill[donor] -= best
-    return True
-
-
-def pack(ids: np.ndarray, sizes: np.ndarray, capacity: int, max_trials: int = 20_000) -> list[tuple[int, int, int, int, int]]:
-    """(container, item index, piece, start, size) of one shard."""
+def pack(sizes: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """(container, item index, piece, start, size) of one shard; equal sizes are taken in their order."""
     out = []
     container = 0
     rest: list[int] = []
@@ -138,9 +189,9 @@ def pack(ids: np.ndarray, sizes: np.ndarray, capacity: int, max_trials: int = 20
             index.append(i)
     left_sizes = np.array(rest, dtype=np.int64)
     bins = _Bins(capacity)
-    for k in np.lexsort((ids[index] if len(index) else np.array([]), -left_sizes)).tolist():
+    for k in np.argsort(-left_sizes, kind="stable").tolist():
         bins.add(rest[k], k)
-    _improve(bins, left_sizes, -(-int(left_sizes.sum()) // capacity), max_trials)
+    _improve(bins, rest, -(-int(left_sizes.sum()) // capacity))
     for members in bins.items:
         if members:
             out.extend((container, index[k], piece[k], start[k], rest[k]) for k in members)
@@ -148,7 +199,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray, capacity: int, max_trials: int = 20
     return out
 
 
-def packed(items: DataFrame, targets: DataFrame, shard_items: int = 8192, max_trials: int = 20_000) -> DataFrame:
+def packed(items: DataFrame, targets: DataFrame, shard_items: int = 8192) -> DataFrame:
     """Rows of SCHEMA: every item with its container, for each target.
 
     items: (item_id, size); targets: (target_id, capacity), a small fixed table.
@@ -164,12 +215,14 @@ def packed(items: DataFrame, targets: DataFrame, shard_items: int = 8192, max_tr
     def one(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         target, capacity, number = int(key[0]), int(key[1]), int(key[2])
         shard = shard.sort_values(["item_id", "size"], kind="stable")
-        ids = shard["item_id"].to_numpy()
-        found = pack(ids.astype("float64"), shard["size"].to_numpy(np.int64), capacity, max_trials)
+        found = pack(shard["size"].to_numpy(np.int64), capacity)
         c, i, p, s, z = (np.array(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"target_id": target, "capacity": capacity, "container_id": [f"{target}-{number}-{x}" for x in c], "item_id": shard["item_id"].iloc[i].array, "piece": p, "start": s, "size": z})
 
-    return rows.groupBy("target_id", "capacity", "shard").applyInPandas(one, SCHEMA)
+    # a group is much work on few bytes: partitions are told by number, or they would be merged by their size
+    groups = shards * len(wanted)
+    partitions = min(groups, max(4 * items.sparkSession.sparkContext.defaultParallelism, groups // 16))
+    return rows.repartition(partitions, "target_id", "capacity", "shard").groupBy("target_id", "capacity", "shard").applyInPandas(one, SCHEMA)
 
 
 def fill_report(assigned: DataFrame) -> DataFrame:
