@@ -112,27 +112,102 @@ def changes(df: DataFrame, aliases: Mapping = ALIASES, **names: str) -> DataFram
     return rows.select("producer_id", "file_seq", "field", F.explode(kinds).alias("change"), "prev_keys", "keys", "prev_types", "types")
 
 
-def cast_of(at: Column, keys: Sequence[str], target: str) -> Column:
-    """The steady value: the first key that holds one, out of a one-element list where need be, without a unit."""
+#: A whole number or decimal, with an exponent, grouped thousands or a unit of length behind it.
+NUMBER = r"^[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?|[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?(?:\s?(?:px|pt|em|rem|%))?$"
+
+
+def text_of(at: Column, keys: Sequence[str]) -> Column:
+    """The value of the first key that holds one as text, out of a one-element list where need be."""
     texts = []
     for k in keys:
         value = F.try_variant_get(at, _path(k), "variant")
         texts.append(F.coalesce(F.try_variant_get(at, _path(k) + "[0]", "string"), F.try_variant_get(value, "$", "string")))
-    text = F.coalesce(*texts)
+    return F.coalesce(*texts)
+
+
+def cast_text(text: Column, target: str) -> Column:
+    """A text as the steady type; null unless the whole of it is such a value. A fraction is no whole number."""
     if target == "string":
         return text
-    number = F.regexp_extract(text, r"^\s*(-?[0-9]+(?:\.[0-9]+)?)", 1)
-    return F.when(number != "", number.try_cast("double").try_cast(target))
+    trimmed = F.trim(text)
+    number = F.when(trimmed.rlike(NUMBER), F.regexp_replace(F.regexp_replace(trimmed, ",", ""), r"[^0-9]*$", "").try_cast("double"))
+    if target in ("int", "bigint"):
+        return F.when(number == F.floor(number), number.try_cast(target))
+    return number.try_cast(target)
 
 
-def steady(df: DataFrame, aliases: Mapping = ALIASES, keep: Sequence[str] = ("producer_id", "file_seq", "record_no", "received_at"), payload: str = "payload") -> DataFrame:
-    """All records under steady columns: record fields, and one row for each entry of the array the other fields lie in."""
-    inside = next((a for a, _, _ in aliases.values() if a), None)
-    v = F.try_parse_json(F.col(payload))
-    rows = df.select(*keep, v.alias("__v"))
+def cast_of(at: Column, keys: Sequence[str], target: str) -> Column:
+    """The steady value of a field."""
+    return cast_text(text_of(at, keys), target)
+
+
+def _entries(df: DataFrame, aliases: Mapping, keep: Sequence[str], payload: str) -> DataFrame:
+    """(keep, array, entry_ord, __v, __e): one row a record and entry of each array that fields lie in; array is null and __e missing for a record without any."""
+    arrays = list(dict.fromkeys(a for a, _, _ in aliases.values() if a))
+    rows = df.select(*keep, F.try_parse_json(F.col(payload)).alias("__v"))
+    if not arrays:
+        return rows.select(*keep, F.lit(None).cast("string").alias("array"), F.lit(None).cast("int").alias("entry_ord"), "__v", F.lit(None).cast("variant").alias("__e"))
+    kind = "array<struct<array:string,entry_ord:int,e:variant>>"
+
+    def entry(array: str):
+        return lambda e, i: F.struct(F.lit(array).alias("array"), i.cast("int").alias("entry_ord"), e.alias("e"))
+
+    each = [F.coalesce(F.transform(F.try_variant_get(F.col("__v"), _path(a), "array<variant>"), entry(a)), F.array().cast(kind)) for a in arrays]
+    return rows.select(*keep, "__v", F.explode_outer(F.concat(*each)).alias("x")).select(*keep, "x.array", "x.entry_ord", "__v", F.col("x.e").alias("__e"))
+
+
+RECORD = ("producer_id", "file_seq", "record_no", "received_at")
+
+
+def steady(df: DataFrame, aliases: Mapping = ALIASES, keep: Sequence[str] = RECORD, payload: str = "payload") -> DataFrame:
+    """All records under steady columns: record fields, and one row for each entry of each array that other fields lie in.
+
+    With several arrays a row has the fields of its own, told by the column `array`.
+    """
+    several = len({a for a, _, _ in aliases.values() if a}) > 1
+    rows = _entries(df, aliases, keep, payload)
     flat = [cast_of(F.col("__v"), keys, t).alias(f) for f, (a, keys, t) in aliases.items() if a is None]
-    if inside is None:
+    if not any(a for a, _, _ in aliases.values()):
         return rows.select(*keep, *flat)
-    entries = F.try_variant_get(F.col("__v"), _path(inside), "array<variant>")
-    rows = rows.select(*keep, *flat, F.posexplode_outer(entries).alias("entry_ord", "__e"))
-    return rows.select(*rows.columns[:-1], *[cast_of(F.col("__e"), keys, t).alias(f) for f, (a, keys, t) in aliases.items() if a == inside])
+    inner = [(F.when(F.col("array") == a, cast_of(F.col("__e"), keys, t)) if several else cast_of(F.col("__e"), keys, t)).alias(f) for f, (a, keys, t) in aliases.items() if a]
+    return rows.select(*keep, *(["array"] if several else []), *flat, "entry_ord", *inner)
+
+
+def unread(df: DataFrame, aliases: Mapping = ALIASES, keep: Sequence[str] = ("producer_id", "file_seq"), payload: str = "payload") -> DataFrame:
+    """(keep, field, n, example): values of a file that are there but are no value of the steady type, so that the steady table has null."""
+    rows = _entries(df, aliases, keep, payload)
+    found = []
+    for f, (inside, keys, target) in aliases.items():
+        text = text_of(F.col("__e" if inside else "__v"), keys)
+        here = (F.col("array") == inside) if inside else (F.coalesce("entry_ord", F.lit(0)) == 0)
+        found.append(F.when(here & text.isNotNull() & cast_text(text, target).isNull(), F.struct(F.lit(f).alias("field"), text.alias("text"))))
+    rows = rows.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return rows.groupBy(*keep, "x.field").agg(F.count(F.lit(1)).alias("n"), F.min("x.text").alias("example"))
+
+
+def _placed(name: str):
+    return lambda k: F.struct(F.lit(name).alias("place"), k.alias("key"))
+
+
+def unknown_keys(df: DataFrame, aliases: Mapping = ALIASES, keep: Sequence[str] = ("producer_id", "file_seq"), payload: str = "payload") -> DataFrame:
+    """(keep, place, key, n): keys beside the aliased ones that no alias names. A renamed field the alias table lacks shows up here."""
+    # a place is the record or entry itself, or an object in it that an alias reaches into
+    places: dict[tuple[str | None, str], set] = {}
+    for inside, keys, _ in aliases.values():
+        for k in keys:
+            parts = k.split(".")
+            for i in range(len(parts) - 1, -1, -1):
+                places.setdefault((inside, ".".join(parts[:i])), set()).add(parts[i])
+    if any(inside for inside, _ in places):
+        places.setdefault((None, ""), set()).update(inside for inside, _ in places if inside)
+    rows = _entries(df, aliases, keep, payload)
+    found = []
+    for (inside, place), known in places.items():
+        at = F.col("__e" if inside else "__v")
+        keys = F.map_keys(F.try_variant_get(at, _path(place) if place else "$", "map<string,variant>"))
+        here = (F.col("array") == inside) if inside else (F.coalesce("entry_ord", F.lit(0)) == 0)
+        new = F.array_except(keys, F.array(*[F.lit(x) for x in sorted(known)]))
+        name = ".".join(x for x in (f"{inside}[]" if inside else "", place) if x)
+        found.append(F.when(here & new.isNotNull(), F.transform(new, _placed(name))).otherwise(F.array().cast("array<struct<place:string,key:string>>")))
+    rows = rows.select(*keep, F.explode(F.concat(*found)).alias("x"))
+    return rows.groupBy(*keep, "x.place", "x.key").agg(F.count(F.lit(1)).alias("n"))
