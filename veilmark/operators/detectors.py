@@ -85,11 +85,26 @@ DETECTORS: tuple[Detector, ...] = (
 )
 
 
-def _region(d: Detector, order: int) -> Column:
+def _content_hit(d: Detector) -> Column:
     content = F.lit(False)
     if d.content is not None:
         for f in d.fields:
             content = content | F.when(F.length(F.trim(F.col(f))) >= d.least_length, d.content(F.col(f))).otherwise(F.lit(False))
+    return content
+
+
+def flagged(detectors: Sequence[Detector] = DETECTORS) -> Column:
+    """Whether any detector finds an element sensitive: a condition of the element alone, cheap rules first."""
+    out = F.lit(False)
+    for d in detectors:
+        out = out | d.attribute()
+    for d in detectors:
+        out = out | _content_hit(d)
+    return out
+
+
+def _region(d: Detector, order: int) -> Column:
+    content = _content_hit(d)
 
     def made(source: str, confidence: float) -> Column:
         return F.struct(

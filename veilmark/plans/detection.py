@@ -155,16 +155,31 @@ def gate_pages(spark: SparkSession, d: str) -> DataFrame:
 def gate_after_sanitising(spark: SparkSession, d: str) -> DataFrame:
     """Pages still unsafe after detection and sanitising, by first code."""
     e = _elements(spark, d)
-    clean = sanitising.sanitise(e, detectors.detect(e))
+    clean = sanitising.sanitise(e, flag=detectors.flagged())
     return sanitising.page_verdicts(clean).groupBy("safe", "first_code").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 def sanitised_treatments(spark: SparkSession, d: str) -> DataFrame:
     e = _elements(spark, d)
-    clean = sanitising.sanitise(e, detectors.detect(e))
+    clean = sanitising.sanitise(e, flag=detectors.flagged())
     return clean.groupBy("treatment").agg(F.count(F.lit(1)).alias("n_elements"), F.count_if(F.col("text") == P.REDACTED).alias("n_redacted_texts"), F.count_if(F.col("placeholder") == P.REDACTED).alias("n_redacted_placeholders"))
 
 
+def _request_codes(spark: SparkSession, d: str) -> DataFrame:
+    return sanitising.request_codes(table(spark, d, "agent_requests").dropDuplicates(["request_id"]))
+
+
+def gate_first_code(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's verdict on each request: the first rule it breaks."""
+    return _request_codes(spark, d).select("request_id", F.get("codes", 0).alias("first_code"), F.size("codes").alias("n_codes"))
+
+
+def gate_all_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and breaches by rule."""
+    rows = _request_codes(spark, d).select("request_id", F.explode("codes").alias("code")).groupBy("request_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n_requests"), F.sum("n").alias("n_breaches"))
+
+
 def server_verdicts(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "agent_requests").dropDuplicates(["request_id"])
     return sanitising.request_verdicts(requests)
@@ -258,6 +273,31 @@ def _codes_sql() -> str:
     return f"WITH e AS {S.ELEMENTS}, c AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE len(codes) > 0)"
 
 
+def _request_codes_sql() -> str:
+    """The gate over requests: (request_id, ord, code), ord in the order of the rules. Addresses: parameters of a telling name, as the tables have no others."""
+    password = f"(coalesce(x.input_type = 'password', false) OR {S.any_of('x.element_id', (*P.PASSWORD_NAME, 'pin'))})"
+    url = lambda c: f"coalesce(regexp_matches({c}, '[?&](token|access_token|auth|key|api_key|secret|password|pwd|session_id|sid|code|jwt|session)=[^&\\s]'), false)"
+    flat = [
+        ("privacy IS NULL", "MISSING_PRIVACY_METADATA"), ("NOT coalesce(privacy.raw_data_removed, true) OR NOT coalesce(privacy.sanitized, true)", "INCOMPLETE_SANITIZATION"),
+        ("NOT coalesce(privacy.dom_sanitized, true) OR NOT coalesce(privacy.screenshot_sanitized, true) OR NOT coalesce(privacy.url_sanitized, true)", "STAGE_VERIFICATION_FAILED"),
+        (url("page_url"), "SENSITIVE_URL_PARAM"), (url("page_state.url"), "SENSITIVE_URL_PARAM"),
+    ]
+    parts = [f"SELECT request_id, {i} AS ord, '{code}' AS code FROM q WHERE {hit}" for i, (hit, code) in enumerate(flat)]
+    for j, f in enumerate(("text", "placeholder", "label")):
+        live = f"trim(x.{f}) <> '' AND trim(x.{f}) <> '[REDACTED]'"
+        for k, (code, p) in enumerate((("LEAKED_PASSWORD", None), *GATE_CODES)):
+            hit = password if p is None else S.match(f"trim(x.{f})", p) + (f" OR {S.luhn(f'trim(x.{f})', False)}" if code == "LEAKED_CREDIT_CARD" else "")
+            parts.append(f"SELECT request_id, 1000 + i * 100 + {j * 20 + k}, '{code}' FROM el WHERE x IS NOT NULL AND {live} AND ({hit})")
+    for k, (code, p) in enumerate(GATE_CODES):
+        name = ("LEAKED_ID" if code == "LEAKED_NATIONAL_ID" else code) + "_SEMANTIC"
+        parts.append(f"SELECT request_id, 100000000 + {k}, '{name}' FROM q WHERE trim(semantic_tree) <> '[REDACTED]' AND {S.match('trim(semantic_tree)', p)}")
+    parts.append(f"SELECT request_id, 100000010, 'SENSITIVE_URL_SEMANTIC' FROM q WHERE {S.match('semantic_tree', P.SERVER_URL_PARAM)}")
+    parts.append("SELECT request_id, 200000000 + i * 2, 'INVALID_REDACTION_TREATMENT' FROM rd WHERE x IS NOT NULL AND coalesce(x.treatment, '') NOT IN ('blackout', 'mask', 'blur')")
+    parts.append("SELECT request_id, 200000001 + i * 2, 'INVALID_REDACTION_BBOX' FROM rd WHERE x IS NOT NULL AND (x.bbox IS NULL OR coalesce(x.bbox.width, 0) <= 0 OR coalesce(x.bbox.height, 0) <= 0)")
+    return f"""WITH q AS {S.REQUESTS}, el AS (SELECT request_id, unnest(dom) AS x, unnest(range(len(dom))) AS i FROM q), rd AS (SELECT request_id, unnest(redactions) AS x, unnest(range(len(redactions))) AS i FROM q),
+c AS ({' UNION ALL '.join(parts)})"""
+
+
 def _treatments_sql() -> str:
     password = f"(coalesce(input_type = 'password', false) OR {S.any_of('autocomplete', ('password',))} OR {S.any_of('e.element_id', (*P.PASSWORD_NAME, 'pin'))})"
     return _detect_sql() + f""", f AS (SELECT DISTINCT page_id, element_id, true AS hit FROM r),
@@ -277,7 +317,7 @@ QUERIES = {
     **{f"detect_{k}_documents": _detect_documents(k) for k in KINDS},
     **{f.__name__: f for f in (
         detect_hits, detect_counts_by_source, detect_rollup, detect_cube, detect_regions, detect_content_only, region_type_counts, page_exposure, confusion_attribute_content, scrub_documents, scrub_elements,
-        scrub_idempotent, luhn_candidates, luhn_numbers, gate_field_codes, gate_pages, gate_after_sanitising, sanitised_treatments, server_verdicts, server_reasons, pattern_inventory,
+        scrub_idempotent, luhn_candidates, luhn_numbers, gate_field_codes, gate_pages, gate_first_code, gate_all_codes, gate_after_sanitising, sanitised_treatments, server_verdicts, server_reasons, pattern_inventory,
     )},
 }
 
@@ -302,6 +342,8 @@ SELECT page_id, element_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]
     "gate_field_codes": _codes_sql() + " SELECT page_id, element_id, field, array_to_string(codes, '|') AS codes FROM c",
     "gate_pages": _codes_sql() + """, f AS (SELECT page_id, min_by(codes[1], ord * 100 + field_ord) AS first_code, CAST(sum(len(codes)) AS BIGINT) AS n_violations FROM c GROUP BY page_id)
 SELECT e.page_id, count(*) AS n_elements, coalesce(any_value(f.n_violations), 0) AS n_violations, any_value(f.first_code) AS first_code, any_value(f.first_code) IS NULL AS safe FROM e LEFT JOIN f ON e.page_id = f.page_id GROUP BY e.page_id""",
+    "gate_first_code": _request_codes_sql() + " SELECT q.request_id, min_by(c.code, c.ord) AS first_code, CAST(count(c.code) AS INTEGER) AS n_codes FROM q LEFT JOIN c ON q.request_id = c.request_id GROUP BY q.request_id",
+    "gate_all_codes": _request_codes_sql() + " SELECT code, count(DISTINCT request_id) AS n_requests, count(*) AS n_breaches FROM c GROUP BY code",
     "sanitised_treatments": _treatments_sql(),
     "server_verdicts": _server_sql(),
     "server_reasons": f"SELECT reason, count(*) AS n_requests FROM ({_server_sql()}) GROUP BY reason",
