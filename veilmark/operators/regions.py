@@ -32,23 +32,56 @@ def canonical(regions: DataFrame) -> DataFrame:
     return regions.withColumns({"bbox": G.canonical(F.col("bbox")), "confidence": G.confidence(F.col("confidence")), "severity": severity, "redaction": redaction})
 
 
-def _cells(b: Column) -> Column:
-    def span(low: Column, size: Column) -> Column:
-        return F.sequence(F.floor(low / CELL), F.floor((low + F.greatest(size, F.lit(0.0))) / CELL))
+LEVELS = 11
 
-    return F.flatten(F.transform(span(b["x"], b["width"]), lambda cx: F.transform(span(b["y"], b["height"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
+def _extent(b: Column) -> Column:
+    return F.greatest(b["width"], b["height"], F.lit(0.0))
 
-def _first_cell(a: Column, b: Column) -> Column:
-    """The lowest cell two overlapping boxes share: where their pair is kept, once."""
-    return F.struct(F.floor(F.greatest(a["x"], b["x"]) / CELL).alias("cx"), F.floor(F.greatest(a["y"], b["y"]) / CELL).alias("cy"))
+
+def _finite(b: Column) -> Column:
+    return F.forall(F.array(b["x"], b["y"], b["width"], b["height"]), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15))
+
+
+def _level(b: Column) -> Column:
+    """The finest grid whose cells are as long as a box: it then touches four of them at most. The coarsest takes all larger ones."""
+    return F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(_extent(b), F.lit(1.0)) / CELL)))).cast("int")
+
+
+def _cells(b: Column, level: Column) -> Column:
+    """Cells of a level that a box touches; none where it is not finite."""
+    size = F.lit(CELL) * F.pow(F.lit(2.0), level)
+
+    def span(low: Column, extent: Column) -> Column:
+        return F.sequence(F.floor(low / size), F.floor((low + F.greatest(extent, F.lit(0.0))) / size))
+
+    cells = F.flatten(F.transform(span(b["x"], b["width"]), lambda cx: F.transform(span(b["y"], b["height"]), lambda cy: F.struct(level.alias("level"), cx.alias("cx"), cy.alias("cy")))))
+    return F.when(_finite(b), cells)
+
+
+def _first_cell(a: Column, b: Column, level: Column) -> Column:
+    """The lowest cell of a level two overlapping boxes share: where their pair is kept, once."""
+    size = F.lit(CELL) * F.pow(F.lit(2.0), level)
+    return F.struct(level.alias("level"), F.floor(F.greatest(a["x"], b["x"]) / size).alias("cx"), F.floor(F.greatest(a["y"], b["y"]) / size).alias("cy"))
+
+
+def _placed(rows: DataFrame, page: Sequence[str], key: str, name: str, others: DataFrame) -> DataFrame:
+    """(page, key, box, own, cell): a box on its own level, and on the coarser levels where the page's others have one."""
+    at = others.select(*page, _level(F.col("bbox")).alias("l")).distinct().groupBy(*page).agg(F.collect_set("l").alias("levels"))
+    own = _level(F.col("bbox"))
+    rows = rows.join(at, list(page)).withColumn("own", own)
+    levels = F.array_union(F.array("own"), F.filter("levels", lambda v: v > F.col("own")))
+    return rows.select(*page, F.col(key), F.col("bbox").alias(name), F.col("own").alias(f"own_{name}"), F.explode(F.flatten(F.transform(levels, lambda v: F.coalesce(_cells(F.col("bbox"), v), F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>"))))).alias("cell"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, page: Sequence[str], left_id: str, right_id: str) -> DataFrame:
-    """Pairs of boxes of a page that share area: (page, left_id, right_id, iou, containment, intersection)."""
-    a = left.select(*page, F.col(left_id), F.col("bbox").alias("a"), F.explode(_cells(F.col("bbox"))).alias("cell"))
-    b = right.select(*page, F.col(right_id), F.col("bbox").alias("b"), F.explode(_cells(F.col("bbox"))).alias("cell"))
-    rows = a.join(b, [*page, "cell"]).filter(F.col("cell") == _first_cell(F.col("a"), F.col("b")))
+    """Pairs of boxes of a page that share area: (page, left_id, right_id, iou, containment, intersection).
+
+    Two boxes meet on the level of the larger one, in the lowest cell they share. A box touches few cells of its own
+    level and of coarser ones, so a page-sized box does not multiply.
+    """
+    a, b = _placed(left, page, left_id, "a", right), _placed(right, page, right_id, "b", left)
+    rows = a.join(b, [*page, "cell"]).filter(F.col("cell.level") == F.greatest("own_a", "own_b")).filter(F.col("cell") == _first_cell(F.col("a"), F.col("b"), F.col("cell.level")))
     rows = rows.select(*page, left_id, right_id, G.iou(F.col("a"), F.col("b")).alias("iou"), G.containment(F.col("a"), F.col("b")).alias("containment"), G.intersection(F.col("a"), F.col("b")).alias("intersection"))
     return rows.filter(F.col("intersection") > 0)
 
@@ -76,9 +109,11 @@ def match_detections(elements: DataFrame, detections: DataFrame, page: Sequence[
 
 def hit(points: DataFrame, elements: DataFrame, page: Sequence[str]) -> DataFrame:
     """For each point (page, point_id, px, py) the first element by ord whose box contains it, bounds included."""
-    e = elements.select(*page, "element_id", "ord", "bbox", F.explode(_cells(F.col("bbox"))).alias("cell"))
-    cell = F.struct(F.floor(F.col("px") / CELL).alias("cx"), F.floor(F.col("py") / CELL).alias("cy"))
-    rows = points.withColumn("cell", cell).join(e, [*page, "cell"]).filter(G.contains(F.col("bbox"), F.col("px"), F.col("py")))
+    own = _level(F.col("bbox"))
+    e = elements.select(*page, "element_id", "ord", "bbox", F.explode(_cells(F.col("bbox"), own)).alias("cell"))
+    # a point lies in one cell of each level
+    level = lambda i: F.struct(i.cast("int").alias("level"), F.floor(F.col("px") / (F.lit(CELL) * F.pow(F.lit(2.0), i))).alias("cx"), F.floor(F.col("py") / (F.lit(CELL) * F.pow(F.lit(2.0), i))).alias("cy"))
+    rows = points.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level))).join(e, [*page, "cell"]).filter(G.contains(F.col("bbox"), F.col("px"), F.col("py")))
     first = rows.groupBy(*page, "point_id").agg(F.min_by("element_id", F.struct("ord", "element_id")).alias("element_id"))
     return points.select(*page, "point_id").join(first, [*page, "point_id"], "left")
 
