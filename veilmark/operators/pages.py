@@ -69,11 +69,18 @@ def tag_ordinals(elements: DataFrame) -> DataFrame:
     return elements.withColumn("tag_ordinal", F.row_number().over(w))
 
 
-def assigned_ids(elements: DataFrame) -> DataFrame:
-    """The id an element has, or prefix and running number of its page."""
-    w = Window.partitionBy("page_id").orderBy("ord", "element_id")
-    made = F.concat_ws("-", id_prefix(), (F.row_number().over(w) - 1).cast("string"))
-    return elements.withColumn("assigned_id", made)
+def assigned_ids(elements: DataFrame, existing: str = "element_id") -> DataFrame:
+    """Adds assigned_id: the id an element has, else prefix and running number of the page's elements without one.
+
+    The running number starts behind the highest one that an existing id of this form has, so that no id is given twice.
+    """
+    own = F.trim(F.col(existing))
+    has = F.coalesce(own != "", F.lit(False))
+    number = F.when(has, F.regexp_extract(own, r"^agent-[a-z]+-([0-9]{1,9})$", 1).try_cast("int"))
+    page = Window.partitionBy("page_id")
+    run = F.sum((~has).cast("int")).over(page.orderBy("ord", existing).rowsBetween(Window.unboundedPreceding, 0))
+    made = F.concat_ws("-", id_prefix(), (F.coalesce(F.max(number).over(page), F.lit(-1)) + run).cast("string"))
+    return elements.withColumn("assigned_id", F.when(has, own).otherwise(made))
 
 
 def tree_line() -> Column:

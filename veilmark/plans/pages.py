@@ -10,7 +10,7 @@ from veilmark.functions import text as X
 from veilmark.functions import urls
 from veilmark.operators import pages
 from veilmark.plans import sqltext as S
-from veilmark.sources import table
+from veilmark.sources import files, table
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,9 @@ def tag_ordinals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assigned_ids(spark: SparkSession, d: str) -> DataFrame:
-    return pages.assigned_ids(_elements(spark, d)).select("page_id", "element_id", "assigned_id")
+    """Ids for the elements whose id the page itself gave (no number of ours at its end): the others keep theirs."""
+    e = _elements(spark, d).withColumn("own", F.when(F.col("element_id").rlike("[0-9]$"), F.col("element_id")))
+    return pages.assigned_ids(e, "own").select("page_id", "element_id", "assigned_id")
 
 
 def role_of_tag(spark: SparkSession, d: str) -> DataFrame:
@@ -180,8 +182,8 @@ def privacy_flags(spark: SparkSession, d: str) -> DataFrame:
 def data_urls(spark: SparkSession, d: str) -> DataFrame:
     """Text to a data address and back."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    coded = F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))
-    back = F.decode(F.unbase64(F.substring_index(coded, ",", -1)), "UTF-8")
+    coded = files.data_url(F.encode("text", "UTF-8"), "text/plain")
+    back = F.decode(files.from_data_url(coded), "UTF-8")
     return docs.select("doc_id", F.length(coded).alias("n_coded"), (back == F.col("text")).alias("same"))
 
 
@@ -220,7 +222,9 @@ ORACLES = {
 count(*) FILTER (lower(tag) = 'a') AS n_links, count(*) FILTER (lower(tag) = 'img') AS n_images, count(*) FILTER (lower(tag) IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')) AS n_headings, count(*) FILTER (interactive) AS n_interactive, count(*) FILTER (visible) AS n_visible, count(*) FILTER (in_viewport) AS n_in_viewport FROM {E_} GROUP BY page_id""",
     "highlight_index": f"SELECT page_id, element_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord, element_id) - 1 AS INTEGER) AS new_index FROM {E_}",
     "tag_ordinals": f"SELECT page_id, element_id, tag, CAST(row_number() OVER (PARTITION BY page_id, tag ORDER BY ord, element_id) AS INTEGER) AS tag_ordinal FROM {E_}",
-    "assigned_ids": f"SELECT page_id, element_id, {_case(pages.PREFIX_OF_TAG, 'tag', 'agent-el')} || '-' || CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord, element_id) - 1 AS VARCHAR) AS assigned_id FROM {E_}",
+    "assigned_ids": f"""WITH e AS (SELECT *, CASE WHEN regexp_matches(element_id, '[0-9]$') THEN trim(element_id) END AS own FROM {E_}),
+n AS (SELECT *, max(TRY_CAST(nullif(regexp_extract(own, '^agent-[a-z]+-([0-9]{{1,9}})$', 1), '') AS INTEGER)) OVER (PARTITION BY page_id) AS top, count(*) FILTER (own IS NULL) OVER (PARTITION BY page_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT page_id, element_id, coalesce(own, {_case(pages.PREFIX_OF_TAG, 'tag', 'agent-el')} || '-' || CAST(coalesce(top, -1) + run AS VARCHAR)) AS assigned_id FROM n""",
     "role_of_tag": f"SELECT tag, derived, count(*) AS n, count(*) FILTER (derived IS NOT DISTINCT FROM semantic_role) AS n_same FROM (SELECT tag, semantic_role, CASE WHEN trim(role) <> '' THEN role ELSE {_case(pages.ROLE_OF_TAG, 'tag', 'generic')} END AS derived FROM {E_}) GROUP BY tag, derived",
     "interactive_elements": f"SELECT tag, count(*) AS n, count(*) FILTER (interactive) AS n_flagged FROM {E_} WHERE coalesce(lower(tag) IN {pages.INTERACTIVE_TAGS}, false) OR coalesce(lower(role) IN {pages.INTERACTIVE_ROLES}, false) GROUP BY tag",
     "viewport_elements": f"""SELECT e.page_id, count(*) AS n_visible FROM {E_} e JOIN {S.PAGES} p ON e.page_id = p.page_id WHERE p.page_state IS NOT NULL AND e.bbox IS NOT NULL AND NOT isnan(e.bbox.x) AND NOT isnan(e.bbox.y) AND NOT isnan(e.bbox.width) AND NOT isnan(e.bbox.height)

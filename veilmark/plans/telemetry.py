@@ -77,9 +77,7 @@ def agents_alive(spark: SparkSession, d: str) -> DataFrame:
     """Agents by whether their last run began within an hour of the newest of all."""
     r = _runs(spark, d).select("agent_id", F.col("started_at").cast("timestamp").alias("ts"))
     now = r.agg(F.max("ts")).scalar()
-    seen = r.groupBy("agent_id").agg(F.max("ts").alias("last_seen"))
-    since = F.unix_micros(now) - F.unix_micros("last_seen")
-    return seen.groupBy((since < 3_600_000_000).alias("connected")).agg(F.count(F.lit(1)).alias("n_agents"))
+    return telemetry.liveness(r, "agent_id", "ts", now, 3600).groupBy("connected").agg(F.count(F.lit(1)).alias("n_agents"))
 
 
 def events_recent50(spark: SparkSession, d: str) -> DataFrame:
