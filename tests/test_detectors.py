@@ -116,3 +116,72 @@ def test_labelled_corpus(spark):
     got = {r["rules"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in audit.corpus_scores(spark, "").collect()}
     assert got["all rules"] == (23, 2, 0, 11)
     assert got["content rules"][0] < 23
+
+
+def test_index_percentile_by_ranges(spark):
+    """The same as sorting, for ties, skew, null groups and a single row."""
+    import random
+
+    r = random.Random(1)
+    rows = [("a", r.choice([1.0, 1.0, r.random(), -5.0, r.random() * 1e6])) for _ in range(5000)] + [("b", 7.0)] + [(None, float(i)) for i in range(100)] + [("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x["g"]: (x["n"], x["p0"], x["p50"], x["p95"], x["p100"]) for x in evaluation.index_percentile(df, "v", ["g"], {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    for g in ("a", "b", None):
+        s = sorted(v for k, v in rows if k == g and v is not None and v == v)
+        assert got[g] == (len(s), *(s[min(int(len(s) * q), len(s) - 1)] for q in (0.0, 0.5, 0.95, 1.0)))
+
+
+def test_coverage(spark):
+    box = "struct<x:double,y:double,width:double,height:double>"
+    t = spark.createDataFrame([("p", "1", (0.0, 0.0, 10.0, 10.0)), ("p", "2", (50.0, 50.0, 10.0, 10.0)), ("q", "1", (0.0, 0.0, 10.0, 10.0))], f"page string, box_id string, bbox {box}")
+    r = spark.createDataFrame([("p", "r", (0.0, 0.0, 10.0, 10.0)), ("p", "s", (50.0, 50.0, 10.0, 4.0)), ("r", "t", (0.0, 0.0, 10.0, 10.0))], f"page string, region_id string, bbox {box}")
+    assert tuple(evaluation.coverage(t, r, ["page"]).first()) == (3, 1, round((1 + 0.4) / 3 * 100, 2), round(100 / 3, 2))
+    assert tuple(evaluation.coverage(t.limit(0), r, ["page"]).first()) == (0, 0, 0.0, 0.0)
+
+
+REQUEST = (
+    "request_id string, brand string, screenshot_bytes long, screenshot_brand string, page_url string, page_state struct<url:string>, semantic_tree string, "
+    "privacy struct<raw_data_removed:boolean,sanitized:boolean,dom_sanitized:boolean,screenshot_sanitized:boolean,url_sanitized:boolean>, "
+    "dom array<struct<element_id:string,text:string,label:string,placeholder:string,input_type:string,href:string>>, redactions array<struct<treatment:string,bbox:struct<width:double,height:double>>>"
+)
+FINE = {"brand": "SanitizedContext", "screenshot_bytes": 10, "page_url": "https://a.example/x", "privacy": (True, True, True, True, True), "dom": [("e", "[REDACTED]", None, None, None, None), None], "redactions": [("mask", (1.0, 1.0)), None]}
+
+
+@pytest.mark.parametrize(
+    ("change", "want"),
+    [
+        ({}, []), ({"brand": "RawContext"}, ["RAW_CONTEXT_DETECTED"]), ({"brand": None}, ["MISSING_BRAND"]), ({"screenshot_bytes": None}, ["MISSING_SCREENSHOT"]), ({"screenshot_bytes": 0}, ["EMPTY_SCREENSHOT"]),
+        ({"screenshot_brand": "RawScreenshot"}, ["RAW_SCREENSHOT_DETECTED"]), ({"privacy": None}, ["MISSING_PRIVACY_METADATA"]), ({"privacy": (True, False, True, True, True)}, ["INCOMPLETE_SANITIZATION"]),
+        ({"privacy": (True, None, False, True, True)}, ["STAGE_VERIFICATION_FAILED"]), ({"page_url": "https://a.example/x?token=abc"}, ["SENSITIVE_URL_PARAM"]), ({"page_state": ("https://a.example/?api_key=1",)}, ["SENSITIVE_URL_PARAM"]),
+        ({"dom": [("password", "x", None, None, None, None), ("e", "a@b.example", None, None, None, "/?token=1")]}, ["LEAKED_PASSWORD", "LEAKED_EMAIL", "SENSITIVE_ATTRIBUTE_URL"]),
+        ({"semantic_tree": "a@b.example 123-45-6789 x?token=abc"}, ["LEAKED_EMAIL_SEMANTIC", "LEAKED_ID_SEMANTIC", "SENSITIVE_URL_SEMANTIC"]),
+        ({"redactions": [("none", (1.0, 1.0)), ("mask", None), (None, (0.0, 1.0))]}, ["INVALID_REDACTION_TREATMENT", "INVALID_REDACTION_BBOX", "INVALID_REDACTION_TREATMENT", "INVALID_REDACTION_BBOX"]),
+        ({"dom": None, "redactions": None}, []),
+    ],
+)
+def test_request_gate(spark, change, want):
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string(REQUEST)
+    row = {"request_id": "r", **FINE, **change}
+    df = spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema)
+    assert sanitising.request_codes(df).first()["codes"] == want
+
+
+def test_server_check_of_all_fields(spark):
+    schema = "request_id string, screenshot_bytes long, page_url string, semantic_tree string, privacy struct<sanitized:boolean,raw_data_removed:boolean>, dom array<struct<text:string,label:string,placeholder:string,alt:string,selected_value:string,input_type:string,href:string,src:string>>, redactions array<string>"
+    e = (None,) * 8
+    rows = [
+        ("alt", 1, None, None, (True, True), [e[:3] + ("a@b.example",) + e[4:]], []), ("src", 1, None, None, (True, True), [e, e[:7] + ("/x?token=1",)], []), ("large", 21 << 20, None, None, (True, True), [], []), ("fine", None, None, None, (True, True), [e], []),
+    ]
+    got = {r["request_id"]: r["reason"] for r in sanitising.request_verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"alt": "Email in element (alt)", "src": "Sensitive URL parameters in element (src)", "large": "Screenshot too large", "fine": None}
+
+
+def test_existing_ids_are_kept(spark):
+    from veilmark.operators import pages
+
+    rows = [("p", 1, "agent-btn-7", "button"), ("p", 2, None, "a"), ("p", 3, "", "p"), ("p", 4, "own", "p"), ("q", 1, None, "input")]
+    df = spark.createDataFrame(rows, "page_id string, ord int, element_id string, tag string")
+    got = [r["assigned_id"] for r in pages.assigned_ids(df).orderBy("page_id", "ord").collect()]
+    assert got == ["agent-btn-7", "agent-link-8", "agent-text-9", "own", "agent-input-0"]

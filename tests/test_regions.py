@@ -127,3 +127,16 @@ def test_large_pages_are_merged_whole(spark):
     df = spark.createDataFrame(rows, "page string, region_id string, type string, bbox struct<x:double,y:double,width:double,height:double>, confidence double, severity string, redaction string")
     out = regions.merge_regions(df, "page").collect()
     assert len(out) == n and sum(len(r["merged_from"]) for r in out) == n + 1
+
+
+def test_a_page_sized_box_stays_few_rows(spark):
+    """Boxes from a pixel to the limit: the same pairs as by trying all, and no box in more than a few cells."""
+    r = np.random.default_rng(5)
+    boxes = [("p", f"b{i:03}", float(x), float(y), float(w), float(h)) for i, (x, y, w, h) in enumerate(zip(r.integers(0, 9000, 60), r.integers(0, 9000, 60), 2 ** r.uniform(0, 13, 60), 2 ** r.uniform(0, 13, 60), strict=True))]
+    boxes += [("p", "huge1", 0.0, 0.0, 100000.0, 100000.0), ("p", "huge2", 10.0, 10.0, 99000.0, 50.0), ("p", "inf", 0.0, 0.0, float("inf"), 1.0), ("p", "nan", float("nan"), 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(boxes, "page string, k string, x double, y double, width double, height double").select("page", "k", F.struct("x", "y", "width", "height").alias("bbox"))
+    got = {(x["id_a"], x["id_b"]) for x in regions.self_pairs(df, ["page"], "k").collect()}
+    live = [b for b in boxes if all(abs(v) < 1e15 for v in b[2:])]
+    want = {(a[1], b[1]) for a, b in itertools.combinations(sorted(live, key=lambda t: t[1]), 2) if min(a[2] + a[4], b[2] + b[4]) > max(a[2], b[2]) and min(a[3] + a[5], b[3] + b[5]) > max(a[3], b[3])}
+    assert got == want
+    assert df.select(F.size(regions._cells(F.col("bbox"), regions._level(F.col("bbox")))).alias("n")).agg(F.max("n")).first()[0] <= 4

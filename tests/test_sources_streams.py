@@ -112,3 +112,16 @@ def test_batch_liveness(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:40")], "k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r["k"]: r["connected"] for r in telemetry.liveness(df, "k", "ts", F.lit("2024-01-01 00:00:45").cast("timestamp")).collect()}
     assert got == {"a": False, "b": True}
+
+
+def test_safe_split_of_a_page_in_two_batches(spark, tmp_path):
+    """A page whose second half is refused is not released, nor what follows of it."""
+    schema = "page_id string, element_id string, ord int, tag string, text string, label string, placeholder string, alt string, input_type string, autocomplete string, selected_value string, href string, src string"
+    paths = [str(tmp_path / x) for x in ("in", "safe", "held", "cp")]
+    for i, text in enumerate(("fine", "a@b.example", "fine again")):
+        rows = [("late", f"e{i}", i, "p", text) + (None,) * 8, ("ok", f"e{i}", i, "p", "fine") + (None,) * 8]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(paths[0])
+        streams.split_safe(spark.readStream.schema(schema).parquet(paths[0]), *paths[1:]).awaitTermination()
+    got = sorted((r["page_id"], r["element_id"]) for r in streams.released(spark, paths[1], paths[2]).collect())
+    assert got == [("ok", "e0"), ("ok", "e1"), ("ok", "e2")]
+    assert sorted(r["element_id"] for r in spark.read.parquet(paths[2]).collect()) == ["e1", "e2"]

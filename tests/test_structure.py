@@ -122,3 +122,31 @@ def test_deep_scan_at_any_depth(spark, tmp_path):
     assert got == {
         ("deep[].k[].k[].k[].k", "LEAKED_API_KEY"): 1, ("a.id", "LEAKED_SECRET"): 1, ("a.type", "none"): 1, ('q"{[', "none"): 1, ("u", "SENSITIVE_URL_PARAM"): 1, ("v", "none"): 1,
     }
+
+
+ALIAS = {"n": (None, ("n",), "int"), "x": (None, ("x",), "double"), "a": ("first", ("a", "A"), "string"), "b": ("second", ("in.b",), "int")}
+
+
+def payload_rows(spark, *payloads):
+    rows = [("p", 1, i, None if p is None else p if isinstance(p, str) else json.dumps(p)) for i, p in enumerate(payloads)]
+    return spark.createDataFrame(rows, "producer_id string, file_seq int, record_no int, payload string")
+
+
+def test_whole_values_or_none(spark):
+    """A number is read whole: exponents, groups and units count, a fraction is no whole number, the rest is reported."""
+    values = [(12, 12.0), ("1,280", 1280.5), ("1280px", "1.5e7"), (12.7, "1.2e3"), ("12abc", "x1"), ("1,28", ".5"), (True, "-3.25 px"), (None, None)]
+    df = payload_rows(spark, *[{"n": n, "x": x} for n, x in values])
+    aliases = {k: v for k, v in ALIAS.items() if v[0] is None}
+    got = [(r["n"], r["x"]) for r in drift.steady(df, aliases, ("record_no",)).orderBy("record_no").collect()]
+    assert got == [(12, 12.0), (1280, 1280.5), (1280, 1.5e7), (None, 1200.0), (None, None), (None, 0.5), (None, -3.25), (None, None)]
+    lost = {r["field"]: r["n"] for r in drift.unread(df, aliases).collect()}
+    assert lost == {"n": 4, "x": 1}
+
+
+def test_several_arrays_and_unknown_keys(spark):
+    df = payload_rows(spark, {"n": 1, "first": [{"a": "u", "z": 0}, {"A": "v"}], "second": [{"in": {"b": 5, "c": 6}}]}, {"n": 2, "new": 3}, None, "{")
+    got = {(r["record_no"], r["array"], r["entry_ord"], r["n"], r["a"], r["b"]) for r in drift.steady(df, ALIAS, ("record_no",)).collect()}
+    assert got == {(0, "first", 0, 1, "u", None), (0, "first", 1, 1, "v", None), (0, "second", 0, 1, None, 5), (1, None, None, 2, None, None), (2, None, None, None, None, None), (3, None, None, None, None, None)}
+    unknown = {(r["place"], r["key"]) for r in drift.unknown_keys(df, ALIAS).collect()}
+    assert unknown == {("first[]", "z"), ("second[].in", "c"), ("", "new")}
+    assert drift.unknown_keys(df.limit(0), ALIAS).count() == drift.unread(df.limit(0), ALIAS).count() == 0

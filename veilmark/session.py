@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); on a single machine without one, a folder of our own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if found:
@@ -34,7 +35,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(found)
         return found
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "veilmark-checkpoints"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        # one machine, in tests: the folder goes with the process
+        own = tempfile.mkdtemp(prefix="veilmark-checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,18 +80,39 @@ def liveness(beats: DataFrame, key: str, limit_s: int = 30, late: str = LATE) ->
 
 
 def split_safe(elements: DataFrame, safe: str, quarantine: str, checkpoint: str):
-    """A stream of elements split page by page: safe ones to one table, refused ones to the other."""
+    """A stream of elements split page by page: safe ones to one table, refused ones to the other.
+
+    A page may come in several micro-batches. Once a batch of it is refused, all later ones go to quarantine; what was
+    written before stays in the safe table, but `released` does not return it. Readers take `released`, not the table.
+    """
 
     def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         verdicts = sanitising.page_verdicts(batch).select("page_id", "safe")
+        refused = _refused(spark, quarantine, epoch)
+        if refused is not None:
+            verdicts = verdicts.join(refused.withColumn("__r", F.lit(True)), "page_id", "left").select("page_id", (F.col("safe") & F.col("__r").isNull()).alias("safe"))
         judged = batch.join(verdicts, "page_id")
         # one folder an epoch: a repeated epoch overwrites its own rows
-        judged.filter("safe").drop("safe").write.mode("overwrite").parquet(f"{safe}/epoch={epoch}")
         judged.filter("NOT safe").drop("safe").write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch}")
+        judged.filter("safe").drop("safe").write.mode("overwrite").parquet(f"{safe}/epoch={epoch}")
 
     return elements.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _refused(spark: SparkSession, quarantine: str, epoch: int) -> DataFrame | None:
+    """Pages that epochs before this one refused; None before the first."""
+    try:
+        return spark.read.parquet(quarantine).filter(F.col("epoch") < epoch).select("page_id").distinct()
+    except AnalysisException:
+        return None
+
+
+def released(spark: SparkSession, safe: str, quarantine: str) -> DataFrame:
+    """The safe rows of pages of which no batch was ever refused."""
+    return spark.read.parquet(safe).join(spark.read.parquet(quarantine).select("page_id").distinct(), "page_id", "left_anti")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Everything available now, to parquet."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
