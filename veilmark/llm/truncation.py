@@ -37,8 +37,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.normalise import consistent
 from veilmark.session import cut
 
-_MARKS = r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})\s*"
-MARK = re.compile(_MARKS + r"\Z")
+MARK = re.compile(r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})\s*\Z")
 CLOSED = re.compile(r"[.!?:;。！？…][\"'”’»)\]]*\Z")
 WORD = re.compile(r"([^\W_]+(?:['’\-][^\W_]+)*)")
 ENDS = re.compile(r"[\"'”’»)\]]*[.!?…。！？]")
@@ -51,8 +50,11 @@ FLUSH = 200_000
 
 
 def maybe_open(text: Column) -> Column:
-    """Texts with letters that may be unfinished: a superset, decided without the consistent form."""
-    return text.rlike(r"\p{L}") & (~text.rlike(r"[.!?:;。！？…][\"'”’»)\]]*\z") | text.rlike(_MARKS + r"\z"))
+    """Texts with letters that may be unfinished: a superset, decided by the last characters alone."""
+    marked = F.rtrim(text, F.lit(" )]"))
+    closed = F.right(F.rtrim(text, F.lit("\"'”’»)]")), F.lit(1)).isin(*".!?:;。！？…")
+    # as one CASE, or a Bloom filter of it would be built by one more scan
+    return F.when(marked.endswith("…") | marked.endswith("..."), True).when(closed, False).otherwise(text.rlike(r"\p{L}"))
 
 
 def lengths(text: str) -> list[int]:
