@@ -28,6 +28,7 @@ operator's own output.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -52,11 +53,13 @@ HINTS = (
 )
 HINT = tuple((c, regex.compile(rf"(?i)(?<!\p{{L}})(?:{w})(?!\p{{L}})")) for c, w in HINTS)
 NEAR = 32
-WORDS = regex.compile(r"\p{L}[\p{L}'’]*")
-CAPITALS = regex.compile(r"\p{Lu}[\p{L}’'\-]+,? (?:\p{Lu}|\p{Ll}{2,3} )|" + P.HONORIFIC + r"\.?\s")
+WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|['’])*")
+#: Cheap conditions that the patterns behind them need: two words as of a name, a digit, a number of some length.
+CAPITALS = re.compile(r"[^\Wa-z\d_][\w’'\-]*[.,]? (?:[^\Wa-z\d_]|(?:van|von|de|del|della|di|da|dos|la|le|el|al|bin|ter|ten|zu) )")
+DIGIT, LONG = re.compile(r"\d"), re.compile(r"\d[\d .\-/()A-Z]{3,}\d|[A-Z]{5}\d{4}")
 FORMS = (("phone", regex.compile(P.PHONE)), ("id", regex.compile(P.ID)), ("address", regex.compile(P.ADDRESS)))
 EMAIL = regex.compile(P.EMAIL)
-AT = regex.compile(r"(?i)@|[\[(]\s?at\s?[\])]")
+AT = re.compile(r"(?i)@|[\[(]\s?at\s?[\])]")
 #: Any other group of digits, with capitals and separators between.
 NUMBER = regex.compile(r"(?<![0-9A-Za-z])[+(]?(?=[0-9A-Z .\-/()]*[0-9]{2})[0-9A-Z]+(?:[ .\-/()]{1,2}[0-9A-Z]+)*(?![0-9A-Za-z])")
 EXTENSION = regex.compile(r",?\s?(?:x|ext\.?|extension|Durchwahl|poste)\s?[0-9]{1,5}$")
@@ -102,14 +105,15 @@ def spans(t: str, hint: str | None = None) -> tuple[list[tuple], str]:
         for m in EMAIL.finditer(t):
             out.append(("email", m.start(), m.end(), "@" if "@" in m.group() else "(at)", LOCAL.match(m.group()).group(1).lower(), named(m.start())))
         t = EMAIL.sub(lambda m: FILLER * len(m.group()), t)
-    if any(c.isdigit() for c in t):
-        for form, p in FORMS:
+    if DIGIT.search(t):
+        number = LONG.search(t) is not None
+        for form, p in FORMS if number else FORMS[2:]:
             found = list(p.finditer(t))
             for m in found:
                 out.append((form, m.start(), m.end(), street(m.group()) if form == "address" else shape(m.group()), None, named(m.start())))
             if found:
                 t = p.sub(lambda m: FILLER * len(m.group()), t)
-        for m in NUMBER.finditer(t):
+        for m in NUMBER.finditer(t) if number else ():
             if sum(c.isdigit() for c in m.group()) >= 5:
                 out.append(("number", m.start(), m.end(), shape(m.group()), None, named(m.start())))
     if CAPITALS.search(t):
