@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import patterns as P
 from veilmark.functions import text as X
-from veilmark.functions import urls
+from veilmark.functions import sql, urls
 from veilmark.operators import detectors, evaluation, regions, telemetry, vision
 from veilmark.plans import sqltext as S
 from veilmark.sources import corpus, table
@@ -135,9 +135,49 @@ def corpus_scores(spark: SparkSession, d: str) -> DataFrame:
     return parts
 
 
-QUERIES = {f.__name__: f for f in (metrics_report, scan_latency, unexpected_fields, region_ids, region_sources_merged, deep_scan, payload_bytes, history_lines, detector_output, corpus_scores)}
+def sql_scrub_elements(spark: SparkSession, d: str) -> DataFrame:
+    """scrub_text by its SQL name."""
+    sql.register(spark)
+    rows = table(spark, d, "elements").select("page_id", "element_id", "text").distinct()
+    return spark.sql("SELECT page_id, element_id, scrub_text(text) AS clean FROM {e} WHERE scrub_text(text) <> text", e=rows)
+
+
+def sql_luhn_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """luhn_valid by its SQL name, over numbers made of order keys."""
+    sql.register(spark)
+    return spark.sql("SELECT o_orderkey, n AS number FROM (SELECT o_orderkey, '4' || lpad(CAST(o_orderkey AS STRING), 14, '7') || CAST(o_custkey % 10 AS STRING) AS n FROM {o}) WHERE luhn_valid(n)", o=table(spark, d, "orders"))
+
+
+def sql_bbox_iou(spark: SparkSession, d: str) -> DataFrame:
+    """bbox_iou by its SQL name: each element's box against the visible part of its page."""
+    sql.register(spark)
+    e = table(spark, d, "elements").select("page_id", "element_id", "bbox").distinct()
+    p = table(spark, d, "pages").select("page_id", "page_state").filter("page_state IS NOT NULL").dropDuplicates(["page_id"])
+    box = "named_struct('x', p.page_state.scroll_x, 'y', p.page_state.scroll_y, 'width', double(p.page_state.viewport_width), 'height', double(p.page_state.viewport_height))"
+    finite = "NOT isnan(bbox.x) AND NOT isnan(bbox.y) AND NOT isnan(bbox.width) AND NOT isnan(bbox.height)"
+    return spark.sql(f"SELECT e.page_id, e.element_id, round(bbox_iou(e.bbox, {box}), 6) AS iou FROM {{e}} e JOIN {{p}} p ON e.page_id = p.page_id WHERE {finite}", e=e, p=p).filter("iou > 0")
+
+
+def html_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The HTML tokenizer as a table function, over pages made of titles and addresses."""
+    sql.register(spark)
+    pages = table(spark, d, "pages").select("page_id", "title", "url").dropDuplicates(["page_id"]).filter("title IS NOT NULL")
+    quoted = "replace(replace(title, '&', '&amp;'), '<', '&lt;')"
+    return spark.sql(f"SELECT p.page_id, e.ord, e.parent_ord, e.tag, e.text, e.href FROM {{p}} p, LATERAL html_elements('<main><h1>' || {quoted} || '</h1><script>x</script><p>Go to <a href=\"' || p.url || '\">here</a></main>') e", p=pages)
+
+
+QUERIES = {f.__name__: f for f in (metrics_report, scan_latency, unexpected_fields, region_ids, region_sources_merged, deep_scan, payload_bytes, history_lines, detector_output, corpus_scores, sql_scrub_elements, sql_luhn_numbers, sql_bbox_iou, html_elements)}
 
 ORACLES = {
+    "sql_scrub_elements": f"SELECT page_id, element_id, clean FROM (SELECT page_id, element_id, text, {S.scrub('text')} AS clean FROM {S.ELEMENTS}) WHERE clean <> text",
+    "sql_luhn_numbers": f"SELECT o_orderkey, n AS number FROM (SELECT o_orderkey, '4' || lpad(CAST(o_orderkey AS VARCHAR), 14, '7') || CAST(o_custkey % 10 AS VARCHAR) AS n FROM orders) WHERE {S.luhn('n')}",
+    "sql_bbox_iou": f"""WITH j AS (SELECT e.page_id, e.element_id, e.bbox.x AS x, e.bbox.y AS y, e.bbox.width AS w, e.bbox.height AS h, p.page_state.scroll_x AS px, p.page_state.scroll_y AS py, CAST(p.page_state.viewport_width AS DOUBLE) AS pw, CAST(p.page_state.viewport_height AS DOUBLE) AS ph
+FROM {S.ELEMENTS} e JOIN {S.PAGES} p ON e.page_id = p.page_id WHERE p.page_state IS NOT NULL AND NOT isnan(e.bbox.x) AND NOT isnan(e.bbox.y) AND NOT isnan(e.bbox.width) AND NOT isnan(e.bbox.height)),
+i AS (SELECT *, greatest(least(x + w, px + pw) - greatest(x, px), 0) * greatest(least(y + h, py + ph) - greatest(y, py), 0) AS i FROM j WHERE w * h > 0 AND pw * ph > 0)
+SELECT page_id, element_id, iou FROM (SELECT page_id, element_id, round(i / (w * h + pw * ph - i), 6) AS iou FROM i WHERE i > 0) WHERE iou > 0""",
+    "html_elements": f"""WITH p AS (SELECT page_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, url FROM {S.PAGES} WHERE title IS NOT NULL)
+SELECT page_id, CAST(1 AS INTEGER) AS ord, CAST(NULL AS INTEGER) AS parent_ord, 'main' AS tag, NULL AS text, NULL AS href FROM p UNION ALL SELECT page_id, 2, 1, 'h1', nullif(title, ''), NULL FROM p
+UNION ALL SELECT page_id, 3, 1, 'p', 'Go to', NULL FROM p UNION ALL SELECT page_id, 4, 3, 'a', 'here', url FROM p""",
     "metrics_report": f"""WITH r AS {S.REQUESTS} SELECT 'requests' AS metric, count(*) AS n FROM r UNION ALL SELECT 'unsanitised', count(*) FILTER (NOT (coalesce(privacy.sanitized, false) AND coalesce(privacy.raw_data_removed, false))) FROM r UNION ALL SELECT 'with_regions', count(*) FILTER (len(redactions) > 0) FROM r
 UNION ALL SELECT 'regions_' || CASE WHEN x.type IN ('email', 'phone', 'password', 'face', 'id', 'sensitive') THEN x.type ELSE 'sensitive' END, count(*) FROM (SELECT unnest(redactions) AS x FROM r) WHERE x IS NOT NULL GROUP BY 1""",
     "scan_latency": f"""SELECT CASE WHEN coalesce(len(dom), 0) = 0 THEN '0' WHEN len(dom) <= 10 THEN '1-10' WHEN len(dom) <= 100 THEN '11-100' ELSE 'over 100' END AS elements, count(*) AS n, round(avg(privacy.scan_ms), 4) AS mean_ms, max(privacy.scan_ms) AS max_ms FROM {S.REQUESTS} WHERE privacy.scan_ms IS NOT NULL AND NOT isnan(privacy.scan_ms) GROUP BY 1""",

@@ -63,7 +63,6 @@ def p6_unknown_keys(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p3_found, p3_tables, p6_found, p6_lifespans, p6_steady, p6_unread, p6_unknown_keys)}
 
 
-
 def _drift_states_sql() -> str:
     """CTEs up to l: a row a file and field with its keys and types, and those of the file before."""
     parts = []
